@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellwerk.llm import alike, columns, groups
+from quellwerk.llm import alike, bpe, chunks, columns, groups, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,30 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     return alike.consistent_forms(_table(spark, sf, "anecdotes")).select(F.col("id").alias("anecdote_id"), "form")
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf, "documents"), bpe.Tokenizer(spark))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the mix, a row for each copy."""
+    return mixing.mixed(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"), bpe.Tokenizer(spark))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares that the mix reaches."""
+    return mixing.mixed(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"), bpe.Tokenizer(spark))[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = chunks.split_oversized(_table(spark, sf, "documents"), bpe.Tokenizer(spark))
+    return pieces.filter("piece = 0").select("doc_id")
+
+
+def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of the oversized documents."""
+    return chunks.split_oversized(_table(spark, sf, "documents"), bpe.Tokenizer(spark))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
