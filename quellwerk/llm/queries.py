@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellwerk.llm import alike, bpe, chunks, columns, groups, mixing
+from quellwerk.llm import alike, bpe, chunks, columns, groups, mixing, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return groups.survivors(_table(spark, sf, "anecdotes"), _table(spark, sf, "origins"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_pairs(_table(spark, sf, "anecdotes"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     found = groups.collapse_formatting(_table(spark, sf, "anecdotes"))
     return found.filter("rep_id <> anecdote_id").select("rep_id", "anecdote_id")
