@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def default_partitions(spark: SparkSession, per: int = 1) -> int:
     """Number of partitions for an explicit repartition: `per` times the shuffle partitions."""
     return max(1, per * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once an application."""
+    context = spark.sparkContext
+    if getattr(ship, "to", None) == context.applicationId:
+        return
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="quellwerk-")) / "quellwerk.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    ship.to = context.applicationId
