@@ -101,7 +101,7 @@ def word_order(units: DataFrame) -> np.ndarray:
     return found["word"].to_numpy(np.int64)
 
 
-_ENTRY = {"node": T.LongType(), "unit": T.LongType(), "side": T.ByteType(), "size": T.ShortType(), "skip": T.ShortType(),
+_ENTRY = {"node": T.LongType(), "unit": T.LongType(), "side": T.ByteType(), "size": T.IntegerType(), "skip": T.IntegerType(),
           "s1": T.LongType(), "s2": T.LongType(), "window": T.BinaryType()}
 ENTRIES = T.StructType([T.StructField(k, v) for k, v in _ENTRY.items()])
 
@@ -148,8 +148,8 @@ def entries(units: DataFrame, order: np.ndarray) -> DataFrame:
                                                                pa.py_buffer(short[idx].tobytes())])
         take = pa.array(r)
         return pa.RecordBatch.from_arrays([
-            pa.array(w[keep]), b.column(0).take(take), b.column(1).take(take), pa.array(sizes[r].astype(np.int16)),
-            pa.array(pos[keep].astype(np.int16)), pa.array(packed[r, 0]), pa.array(packed[r, 1]), window], names=ENTRIES.names)
+            pa.array(w[keep]), b.column(0).take(take), b.column(1).take(take), pa.array(sizes[r].astype(np.int32)),
+            pa.array(pos[keep].astype(np.int32)), pa.array(packed[r, 0]), pa.array(packed[r, 1]), window], names=ENTRIES.names)
 
     return map_batches(units.select(F.col("unit").cast("long"), F.col("side").cast("byte").alias("side"), "_words"), ENTRIES, one)
 
@@ -176,7 +176,7 @@ def opened(at: DataFrame) -> DataFrame:
         data = values[_ranges(off[e] + j + 1, lengths)]
         take = pa.array(e)
         return pa.RecordBatch.from_arrays([
-            pa.array(key), *(b.column(i).take(take) for i in (1, 2, 3)), pa.array(skips.astype(np.int16)),
+            pa.array(key), *(b.column(i).take(take) for i in (1, 2, 3)), pa.array(skips.astype(np.int32)),
             *(b.column(i).take(take) for i in (5, 6)),
             pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(np.concatenate(([0], 2 * np.cumsum(lengths))).astype(np.int32)),
                                                         pa.py_buffer(data.tobytes())])], names=ENTRIES.names)
@@ -222,13 +222,13 @@ def _pairs(start, n, order, unit, side, size, skip, s1, s2, cross) -> Iterator[n
         i = order[np.repeat(left[lo:hi], rest[lo:hi])]
         j = order[_ranges(left[lo:hi] + 1, rest[lo:hi])]
         lo = hi
-        a, b = size[i].astype(np.int16), size[j].astype(np.int16)
+        a, b = size[i].astype(np.int32), size[j].astype(np.int32)
         need = overlap_needed(a, b)
         ok = (skip[i] <= a - need) & (skip[j] <= b - need) & (unit[i] != unit[j])
         if cross:
             ok &= (side[i] | side[j]) > 0
         i, j, room = i[ok], j[ok], (a + b - 2 * need)[ok]
-        far = np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j])
+        far = np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))
         ok = far <= room
         i, j = unit[i[ok]], unit[j[ok]]
         yield np.stack((np.minimum(i, j), np.maximum(i, j)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellwerk.llm import alike, bpe, chunks, columns, groups, mixing, near
+from quellwerk.llm import alike, bpe, chunks, columns, groups, incoming, mixing, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return groups.survivors(_table(spark, sf, "anecdotes"), _table(spark, sf, "origins"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    index = incoming.PostIndex.build(_table(spark, sf, "anecdotes"), _table(spark, sf, "visited_posts"))
+    return index.ingest(_table(spark, sf, "incoming_posts")).filter("case").select("in_id")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_pairs(_table(spark, sf, "anecdotes"))
 
