@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellwerk.llm import alike, bpe, chunks, columns, groups, incoming, mixing, near
+from quellwerk.llm import abuse, alike, bpe, chunks, columns, groups, incoming, mixing, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,23 @@ def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return groups.survivors(_table(spark, sf, "anecdotes"), _table(spark, sf, "origins"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    scores = abuse.scored(_table(spark, sf, "anecdotes"), _table(spark, sf, "review_labels"))
+    return scores.filter(F.col("score") >= abuse.THRESHOLD).select("anecdote_id")
+
+
+def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of each anecdote with its evidence."""
+    return abuse.scored(_table(spark, sf, "anecdotes"), _table(spark, sf, "review_labels"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate of abusive anecdotes of each origin."""
+    scores = abuse.scored(_table(spark, sf, "anecdotes"), _table(spark, sf, "review_labels"), keep=["origin"])
+    bad = (F.col("score") >= abuse.THRESHOLD).cast("long")
+    return scores.groupBy("origin").agg(F.count("*").alias("records"), F.sum(bad).alias("abusive"), F.avg(bad).alias("rate"), F.avg("score").alias("mean_score"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     index = incoming.PostIndex.build(_table(spark, sf, "anecdotes"), _table(spark, sf, "visited_posts"))
     return index.ingest(_table(spark, sf, "incoming_posts")).filter("case").select("in_id")
