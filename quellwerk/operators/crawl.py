@@ -88,9 +88,10 @@ def page_chains(starts: DataFrame, edges: DataFrame, max_pages: int = 0) -> Data
             break
         jumps = jumps.join(jumps.select(F.col("key").alias("to"), F.col("to").alias("on")), "to").select("key", F.col("on").alias("to"))
     seen = reached.join(edges, "key")
-    back = reached.select("tag", F.col("key").alias("next_key"), F.lit(True).alias("is_loop"))
+    back = reached.select("tag", F.col("key").alias("next_key"), F.col("page_no").alias("_no"))
     out = seen.join(back, ["tag", "next_key"], "left")
-    out = out.select("tag", "page_no", "key", F.col("page_url").alias("url"), "next_url", F.coalesce("is_loop", F.lit(False)).alias("is_loop"))
+    loop = F.coalesce(F.col("_no") <= F.col("page_no"), F.lit(False))
+    out = out.select("tag", "page_no", "key", F.col("page_url").alias("url"), "next_url", loop.alias("is_loop"))
     return out.filter(F.col("page_no") <= max_pages) if max_pages else out
 
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quellwerk.config import Config
 from quellwerk.functions import urls
@@ -53,7 +54,7 @@ def unique_filenames(wanted: DataFrame, used: DataFrame, order: list[str]) -> Da
     family is settled by itself, in `order`, against the names in `used` (name).
     """
     family = lambda c: F.regexp_replace(c, r"(_\d+)*(\.[^./]*)?$", "$2")
-    schema = wanted.schema.add("unique_name", "string")
+    schema = T.StructType([*wanted.schema, T.StructField("unique_name", T.StringType())])
     columns = wanted.columns
 
     def settle(rows: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
