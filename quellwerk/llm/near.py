@@ -37,7 +37,7 @@ LISTED = 100_000
 #: A node of more texts than this is opened before the shuffle ...
 NODE_MAX = 100_000
 #: ... and one of more texts than this inside the task.
-LIGHT = 64
+LIGHT = 128
 DEPTH = 4
 CHUNK = 2_000_000
 
@@ -212,24 +212,38 @@ def _alive(start, stop, order, size, skip, side, cross):
 
 
 def _pairs(start, n, order, unit, side, size, skip, s1, s2, cross) -> Iterator[np.ndarray]:
-    """Pairs of entries of nodes (ranges of `order`) that the sieves let through."""
-    left = np.repeat(start, n) + _ranges(np.zeros(len(n), np.int64), n)
-    rest = np.repeat(start + n, n) - left - 1
-    lo = 0
+    """Pairs of entries of nodes (ranges of `order`) that the sieves let through.
+
+    With v = 3 size and u = 5 size - 8 skip, two entries can reach their overlap if and only if
+    each one's u is at least the other's v.  Sorted by v within its node, an entry's partners
+    are a range.
+    """
+    idx = order[_ranges(start, n)]
+    big = NUM * int(size.max()) + 2
+    node = np.repeat(np.arange(len(n)), n) * big
+    v = NUM * size[idx].astype(np.int64)
+    o = np.argsort(node + v, kind="stable")
+    idx, v = idx[o], v[o]
+    u = DEN * size[idx].astype(np.int64) - (NUM + DEN) * skip[idx]
+    until = np.searchsorted(node + v, node + np.minimum(u, big - 1), "right")
+    left = np.arange(len(idx))
+    rest = np.maximum(until - left - 1, 0)
+    u, v = u.astype(np.int32), v.astype(np.int32)
     ends = np.cumsum(rest)
+    lo = 0
     while lo < len(left):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
-        i = order[np.repeat(left[lo:hi], rest[lo:hi])]
-        j = order[_ranges(left[lo:hi] + 1, rest[lo:hi])]
+        j = _ranges(left[lo:hi] + 1, rest[lo:hi])
+        ok = u[j] >= np.repeat(v[lo:hi], rest[lo:hi])
+        i, j = idx[np.repeat(left[lo:hi], rest[lo:hi])[ok]], idx[j[ok]]
         lo = hi
-        a, b = size[i].astype(np.int32), size[j].astype(np.int32)
-        need = overlap_needed(a, b)
-        ok = (skip[i] <= a - need) & (skip[j] <= b - need) & (unit[i] != unit[j])
+        ok = unit[i] != unit[j]
         if cross:
             ok &= (side[i] | side[j]) > 0
-        i, j, room = i[ok], j[ok], (a + b - 2 * need)[ok]
+        i, j = i[ok], j[ok]
+        a, b = size[i].astype(np.int32), size[j].astype(np.int32)
         far = np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))
-        ok = far <= room
+        ok = far <= a + b - 2 * overlap_needed(a, b)
         i, j = unit[i[ok]], unit[j[ok]]
         yield np.stack((np.minimum(i, j), np.maximum(i, j)))
 
