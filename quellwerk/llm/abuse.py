@@ -12,6 +12,7 @@ nearly all segments without a search.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quellwerk.llm import form as M
-from quellwerk.llm.columns import irregular, map_batches, struct_of
+from quellwerk.llm.columns import _CHARS, ALNUM, LOWER, irregular, map_batches, row_sums, struct_of, units
 
 #: Labelled records the index is fitted on at most, chosen by the hash of their id.
 SAMPLE = 20_000
@@ -37,16 +38,40 @@ LEET_LATIN = str.maketrans("0@3451$", "oaeasis")
 LOOSE_TO_CYRILLIC = str.maketrans("ktmhbnru", "ктмнвпги")
 LOOSE_TO_LATIN = str.maketrans("ктмнвпги", "ktmhbnru")
 
-_ODD = regex.compile(r"[@*$]|\p{L}\d|\d\p{L}|(\p{L})\1\1|(?<![\p{L}\p{N}])\p{L}(?:[ ._\-*]\p{L}){2}(?![\p{L}\p{N}])|\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}(?:([ ._\-*])\p{L})(?:\1\p{L})+(?![\p{L}\p{N}])")
 _SIGNS = regex.compile(r"[\p{L}\p{N}@*$]*\p{L}[\p{L}\p{N}@*$]*")
 _STRETCHED = regex.compile(r"(\p{L})\1{2,}")
-_SEGMENTS = regex.compile(r"(?<=[.!?…])[\"'»”“’)]*\s+|\n+")
+_SEGMENTS = re.compile(r"(?<=[.!?…])[\"'»”“’)\]]*\s+|\n+")
 _TOKENS = regex.compile(r"[\p{L}\p{N}*]*\p{L}[\p{L}\p{N}*]*")
+_WORDS = re.compile(r"[^\W\d_]+")
+ALPHA = np.array([c.isalpha() for c in _CHARS])
+SIGN = np.isin(np.arange(0x10000), [ord(c) for c in "@*$"])
+GAP = np.isin(np.arange(0x10000), [ord(c) for c in " ._-*"])
+
+
+def disguised(texts: pa.Array) -> np.ndarray:
+    """Which texts may hold spaced, stretched or sign-for-letter spellings, or are irregular otherwise."""
+    found = irregular(texts)
+    codes, offsets = units(texts)
+    if not len(codes):
+        return found
+    alpha, alnum, low = ALPHA[codes], ALNUM[codes], LOWER[codes]
+    hit = SIGN[codes]
+    hit[1:] |= (alpha[1:] != alpha[:-1]) & alnum[1:] & alnum[:-1]
+    hit[2:] |= alpha[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    if len(codes) > 4:
+        gap = GAP[codes]
+        alone = alpha.copy()
+        alone[1:] &= ~alnum[:-1]
+        alone[:-1] &= ~alnum[1:]
+        hit[4:] |= alone[4:] & gap[3:-1] & alone[2:-2] & gap[1:-3] & alone[:-4]
+    return found | (row_sums(hit, offsets) > 0)
 
 
 def _unmask(m: regex.Match) -> str:
     w = m.group()
+    if w.isalpha() and not M._TWO.search(w):
+        return w
     cyrillic = sum("Ѐ" <= c <= "ӿ" for c in w)
     latin = sum(c.isalpha() for c in w) - cyrillic
     w = w.translate(LEET_CYRILLIC if cyrillic > latin else LEET_LATIN) if not w.isdigit() else w
@@ -58,34 +83,38 @@ def _unmask(m: regex.Match) -> str:
 
 def unmasked(text: str) -> str:
     """Lower-cased consistent form with spaced, stretched and sign-for-letter spellings undone."""
-    text = text.lower()
-    if not _ODD.search(text):
-        return text
-    text = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), text)
-    text = _SIGNS.sub(_unmask, text)
-    return _STRETCHED.sub(r"\1", text)
+    text = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), text.lower())
+    return _STRETCHED.sub(r"\1", _SIGNS.sub(_unmask, text))
+
+
+_TAGS: dict[str, tuple[str, ...]] = {}
+
+
+def tag_tokens(tag: str) -> tuple[str, ...]:
+    """Tokens of a tag, marked with # to keep them apart from those of sentences."""
+    found = _TAGS.get(tag)
+    if found is None:
+        if len(_TAGS) > 50_000:
+            _TAGS.clear()
+        found = _TAGS[tag] = tuple(dict.fromkeys("#" + w for w in _TOKENS.findall(unmasked(M.consistent(tag)))))
+    return found
 
 
 def segments(text: str | None, tags: list[str] | None, odd: bool = True) -> list[tuple[str, ...]]:
-    """Distinct token tuples of a record's sentences and tags; tokens of tags start with #."""
-    out = {}
-    if text:
-        if odd:
-            from quellwerk.llm.garble import repair
-
-            text = M.consistent(repair(text)[1])
-        for s in _SEGMENTS.split(unmasked(text)):
-            if s and (t := tuple(sorted(set(_TOKENS.findall(s))))):
-                out[t] = None
-    for tag in tags or ():
-        if tag and (t := tuple(sorted({"#" + w for w in _TOKENS.findall(unmasked(M.consistent(tag)))}))):
-            out[t] = None
-    return list(out)
+    """Token tuples of a record's sentences and tags.  `odd` says that the text may be disguised or garbled."""
+    out = []
+    if text and odd:
+        from quellwerk.llm.garble import repair
+
+        out = [tuple(dict.fromkeys(_TOKENS.findall(s))) for s in _SEGMENTS.split(unmasked(M.consistent(repair(text)[1])))]
+    elif text:
+        out = [tuple(dict.fromkeys(_WORDS.findall(s))) for s in _SEGMENTS.split(text.lower())]
+    out += [tag_tokens(t) for t in tags or () if t]
+    return [s for s in out if s]
 
 
 def _segments_of(b: pa.RecordBatch, text: int, tags: int) -> Iterator[list[tuple[str, ...]]]:
-    odd = irregular(b.column(text))
-    for t, g, o in zip(b.column(text).to_pylist(), b.column(tags).to_pylist(), odd, strict=True):
+    for t, g, o in zip(b.column(text).to_pylist(), b.column(tags).to_pylist(), disguised(b.column(text)), strict=True):
         yield segments(t, g, bool(o))
 
 
@@ -108,7 +137,7 @@ class Examples:
         rate = {w: (n + 3 * base) / (n + neg[w] + 3) for w, n in pos.items()}
         self.segs: dict[tuple[str, ...], list[float]] = {}
         for abusive, segs in records:
-            for s in segs:
+            for s in map(tuple, map(sorted, segs)):
                 if not abusive or max((rate.get(w, 0.0) for w in s), default=0.0) >= 0.55:
                     self.segs.setdefault(s, [0, 0])[abusive] += 1
         self.telling = {s: max((rate.get(w, 0.0) for w in s), default=0.0) for s in self.segs}
@@ -152,7 +181,9 @@ class Examples:
         self.top = np.zeros(len(self.words))
         bad = self.votes[self.row, 1] > 0 if len(rows) else np.zeros(0, bool)
         np.maximum.at(self.top, self.term[bad], self.weight[bad])
-        self.known: dict[tuple[str, ...], tuple[float, tuple | None]] = {}
+        self.known: dict[tuple[int, ...], tuple[float, tuple | None]] = {}
+        # squared and bounding weights of a word, for the bound in plain numbers
+        self.bound = {w: (float(self.idf[i] ** 2), float(self.idf[i] * self.top[i])) for w, i in self.words.items()}
         return self
 
     def _ids(self, seg: Iterable[str]) -> list[int]:
@@ -197,12 +228,19 @@ class Examples:
 
     def score(self, seg: tuple[str, ...]) -> tuple[float, tuple[int, float] | None]:
         """(score in [0, 1], (nearest abusive example, its cosine)) of a segment; 0 without a near abusive example."""
+        norm = most = 0.0
+        hidden = False
+        for w in seg:
+            if (x := self.bound.get(w)) is not None:
+                norm += x[0]
+                most += x[1]
+            elif "*" in w:
+                hidden = True
+        if not hidden and most < NEAR * math.sqrt(norm) or not (norm or hidden):
+            return 0.0, None
         ids = self._ids(seg)
         if not ids:
             return 0.0, None
-        q = self.idf[ids]
-        if float((q * self.top[ids]).sum()) < NEAR * math.sqrt(float((q * q).sum())):
-            return 0.0, None
         key = tuple(ids)
         known = self.known.get(key)
         if known is None:
@@ -242,8 +280,9 @@ def fit(records: DataFrame, labels: DataFrame, id: str = "anecdote_id") -> Examp
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found = shared.value, Counter()
         for b in batches:
-            for segs in _segments_of(b, 0, 1):
-                found.update({w for s in segs for w in s if w in words})
+            for t, g, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), disguised(b.column(0)), strict=True):
+                own = set(_WORDS.findall(t.lower())) if t and not o else {w for s in segments(t, None, True) for w in s}
+                found.update(own.union(*(tag_tokens(x) for x in g or () if x)) & words)
             found[""] += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=schema.names)
 
