@@ -136,11 +136,11 @@ def _unescape(text: str) -> str:
     return _ESCAPE.sub(one, text)
 
 
-def neighbours(text: str, below: float = float("inf")):
+def neighbours(text: str, below: float = float("inf"), price: float = 10.0):
     """(text, cost) one operation away from `text`, those that can cost less than `below`.
 
     The operations are unescape, and encode with one charset followed by decode with another.
-    Their own price is in the cost: 4 bits for reading bytes as UTF-8, 10 for another charset.
+    Their own price is in the cost: 4 bits for reading bytes as UTF-8, `price` for another charset.
     """
     if _ESCAPE.search(text):
         t = _unescape(text)
@@ -157,14 +157,14 @@ def neighbours(text: str, below: float = float("inf")):
         except UnicodeDecodeError:
             units = _BYTE_BITS[:, np.frombuffer(raw, np.uint8)].sum(1)
             for dec, u in zip(CHARSETS, units, strict=True):
-                if dec != enc and u + 10.0 < below:
+                if dec != enc and u + price < below:
                     t = codecs.charmap_decode(raw, "strict", _TO_CHAR[dec])[0]
-                    yield t, float(u) + 10.0 + _shape(t)
+                    yield t, float(u) + price + _shape(t)
         else:
             yield t, cost(t) + 4.0
 
 
-def search(text: str, depth: int = 3, expansions: int = 8, slack: float = 0.0) -> tuple[str, float, float]:
+def search(text: str, depth: int = 3, expansions: int = 8, slack: float = 0.0, price: float = 10.0) -> tuple[str, float, float]:
     """Cheapest text reachable from `text`: (text, its cost, cost of the original).
 
     Best-first: the cheapest open state is expanded next, at most `expansions` of them and none
@@ -183,7 +183,7 @@ def search(text: str, depth: int = 3, expansions: int = 8, slack: float = 0.0) -
         if at == depth:
             continue
         expansions -= 1
-        for nxt, k in neighbours(state, min(start + slack, best_cost + 40.0)):
+        for nxt, k in neighbours(state, min(start + slack, best_cost + 40.0), price):
             if (h := hash(nxt)) in seen:
                 continue
             seen.add(h)
@@ -195,8 +195,8 @@ def search(text: str, depth: int = 3, expansions: int = 8, slack: float = 0.0) -
     return best, best_cost, start
 
 
-def _better(now: float, before: float) -> bool:
-    return before - now >= 12 and now <= 0.98 * before
+def _better(now: float, before: float, margin: float = 12.0) -> bool:
+    return before - now >= margin and now <= (1 - margin / 600) * before
 
 
 _SENTENCES = re.compile(r"(?<=[.!?])(?=[ \n])|(?<=\n)")
@@ -234,14 +234,14 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     return lost or found, best if found else text
 
 
-def _pieces(text: str) -> tuple[bool, str]:
+def _pieces(text: str, margin: float = 12.0) -> tuple[bool, str]:
     found, out = False, []
     for piece in _SENTENCES.split(text):
         if not piece or not _suspicious(piece):
             out.append(piece)
             continue
-        best, now, before = search(piece)
-        if _better(now, before):
+        best, now, before = search(piece, price=min(10.0, margin))
+        if _better(now, before, margin):
             found = True
             out.append(best)
             continue
@@ -261,4 +261,7 @@ def _pieces(text: str) -> tuple[bool, str]:
                         words[i] = best
                         found = done = True
         out.append("".join(words) if done else piece)
-    return found, "".join(out)
+    text = "".join(out)
+    if found and margin > 1.0:  # its other pieces were probably misread the same way: less evidence will do
+        return True, _pieces(text, 1.0)[1]
+    return found, text
