@@ -10,25 +10,28 @@ from quellwerk.llm.bpe import Tokenizer, count_tokens
 from quellwerk.session import written
 
 MAX_SOURCES = 100_000
+#: Part of the available tokens that a mix without a given size has at least.
+LEAST = 0.5
 
 
 def repetition_rates(sources: list[tuple[str, float, int, int]], total: float | None = None) -> dict[str, float]:
     """How often each source is used: {source: rate}, 0 <= rate <= max_repeats.
 
     `sources` holds (source, target share, max repeats, tokens).  Without `total` the mix is the
-    largest one in which every source that has tokens still reaches its share: closeness to the
-    targets comes first, size second.  With `total` the mix is made that large: sources that
-    would need more than their cap get the cap, and what they miss is spread over the others in
-    proportion to their targets until it fits or all are capped.  Sources without tokens, with a
-    null or non-positive share or cap have rate 0.
+    largest one in which every source that has tokens still reaches its share, but has at least
+    LEAST of the available tokens, so that one tiny source can't shrink it to nothing: closeness
+    to the targets comes first, size second.  Sources that would need more than their cap get
+    the cap, and what they miss is spread over the others in proportion to their targets until it
+    fits or all are capped.  Sources without tokens, with a null or non-positive share or cap
+    have rate 0.
     """
     open_ = {s: (share, cap, n) for s, share, cap, n in sources if n and share and cap and share > 0 and cap > 0}
     rates = {s: 0.0 for s, *_ in sources}
-    if not open_:
+    if total is None and open_:
+        reach = sum(share for share, _, _ in open_.values()) * min(cap * n / share for share, cap, n in open_.values())
+        total = max(reach, LEAST * sum(n for _, _, n in open_.values()))
+    elif total is None:
         return rates
-    if total is None:
-        size = min(cap * n / share for share, cap, n in open_.values())
-        return rates | {s: min(float(cap), share * size / n) for s, (share, cap, n) in open_.items()}
     left = float(total)
     while open_ and left > 0:
         whole = sum(share for share, _, _ in open_.values())
