@@ -111,3 +111,14 @@ def run_stats(results: DataFrame, pages: int = 0, posts: int = 0, retries: int =
         F.lit(pages).cast("long").alias("pages_visited"), F.lit(posts).cast("long").alias("posts_processed"), F.count("*").alias("images_discovered"),
         n("downloaded").alias("images_downloaded"), n("skipped").alias("images_skipped"), n("duplicate").alias("duplicates"), n("failed").alias("failures"),
         F.lit(retries).cast("long").alias("retries"), F.coalesce(F.sum(F.when(F.col("status") == "downloaded", F.col("bytes"))), F.lit(0)).alias("bytes_downloaded"))
+
+
+def image_records(results: DataFrame, facts: DataFrame) -> DataFrame:
+    """Stored records of the downloads that succeeded (D11, K8): `facts` has (ord, filename, sha256, bytes)."""
+    kept = results.filter("status = 'downloaded'").join(facts.select("ord", "filename", "sha256", "bytes"), "ord")
+    return kept.select("url", F.col("normalized_url").alias("normalizedUrl"), "filename", "sha256", "bytes", F.current_timestamp().alias("downloadedAt"))
+
+
+def images_per_second(downloaded: Column, elapsed_ms: Column) -> Column:
+    """Rate of a run (A7); less than a second counts as one."""
+    return downloaded / F.greatest(F.lit(1.0), elapsed_ms / 1000)
