@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table in the shared folder and read again: a cut in the lineage."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
