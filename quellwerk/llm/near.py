@@ -163,6 +163,16 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
 
 
+def _depths(size: np.ndarray, skip: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Depth of the nodes that entries are in, from the lengths of their windows.
+
+    A window always ends with the last word that a node of depth DEPTH may need, so what is left
+    of it tells the place of the node's word: the words passed over and the path lie before.
+    """
+    size = size.astype(np.int64)
+    return np.minimum(most_skipped(size) + DEPTH, size) - lengths - skip
+
+
 def opened(at: DataFrame) -> DataFrame:
     """Entries of `at` moved one word down."""
 
@@ -249,8 +259,15 @@ def _pairs(start, n, order, unit, side, size, skip, s1, s2, cross) -> Iterator[n
 
 
 def tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross=False) -> Iterator[np.ndarray]:
-    """Candidate pairs of one task's entries; the tree below them is opened as far as it pays."""
-    stack = [(node, np.arange(len(node)), skip.astype(np.int64), np.full(len(node), -1), 1)]
+    """Candidate pairs of one task's entries; the tree below them is opened as far as it pays.
+
+    Entries may come from any depth; nodes at DEPTH are compared whole, since windows reach no further.
+    """
+    depths = _depths(size, skip, np.diff(off))
+    stack = []
+    for d in np.unique(depths):
+        e = np.flatnonzero(depths == d)
+        stack.append((node[e], e, skip[e].astype(np.int64), np.full(len(e), -1), int(d)))
     while stack:
         key, entry, skips, cur, depth = stack.pop()
         order = np.argsort(key, kind="stable")

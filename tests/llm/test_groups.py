@@ -125,6 +125,20 @@ def test_tree_opens_heavy_nodes(monkeypatch):
         assert {(i, j) for i, j in got if len(np.intersect1d(sets[i], sets[j])) >= near.overlap_needed(k, k)} == want
 
 
+@pytest.mark.parametrize("node_max", [4, 50])
+def test_nodes_opened_before_and_in_the_task(spark, monkeypatch, node_max):
+    """Texts that pass over as many words as they may are met however far the nodes were opened before."""
+    monkeypatch.setattr(near, "NODE_MAX", node_max)
+    k, n = 30, near.LIGHT + 12  # workers keep LIGHT, so the node has more texts than that
+    bound = int(near.most_skipped(np.array(k)))
+    shared = [f"общее{i}" for i in range(k)]
+    # own words come first: a retelling passes over `bound` words; the others make the template's last words the most frequent, so it passes over none
+    rows = [(0, " ".join(shared))] + [(1 + i, " ".join([f"своё{i}x{j}" for j in range(bound)] + shared[bound:])) for i in range(n)]
+    rows += [(1000 + i, " ".join(shared[:bound] + [f"чужое{i}x{j}" for j in range(k - bound)])) for i in range(n + 20)]
+    got = {(r.id_a, r.id_b) for r in near.near_pairs(table(spark, rows)).collect()}
+    assert got == {(a, b) for a in range(n + 1) for b in range(a + 1, n + 1)}
+
+
 def sequential(anecdotes, visited, posts):
     ids, texts = set(), [t for t in anecdotes if t]
     known, out = {letters(t) for t in texts} - {""}, []
