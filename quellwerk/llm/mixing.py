@@ -10,26 +10,24 @@ from quellwerk.llm.bpe import Tokenizer, count_tokens
 from quellwerk.session import written
 
 MAX_SOURCES = 100_000
-#: Part of the available tokens that a mix without a given size has at least.
-LEAST = 0.5
 
 
-def repetition_rates(sources: list[tuple[str, float, int, int]], total: float | None = None) -> dict[str, float]:
+def repetition_rates(sources: list[tuple[str, float, int, int]], total: float | None = None, least: float = 0.0) -> dict[str, float]:
     """How often each source is used: {source: rate}, 0 <= rate <= max_repeats.
 
     `sources` holds (source, target share, max repeats, tokens).  Without `total` the mix is the
-    largest one in which every source that has tokens still reaches its share, but has at least
-    LEAST of the available tokens, so that one tiny source can't shrink it to nothing: closeness
-    to the targets comes first, size second.  Sources that would need more than their cap get
-    the cap, and what they miss is spread over the others in proportion to their targets until it
-    fits or all are capped.  Sources without tokens, with a null or non-positive share or cap
-    have rate 0.
+    largest one in which every source that has tokens still reaches its share: closeness to the
+    targets comes first, size second, so one tiny source may make it small.  `least` is the part
+    of the available tokens that it has then at least, at the cost of the shares of such sources.
+    Sources that would need more than their cap get the cap, and what they miss is spread over
+    the others in proportion to their targets until it fits or all are capped.  Sources without
+    tokens, with a null or non-positive share or cap have rate 0.
     """
     open_ = {s: (share, cap, n) for s, share, cap, n in sources if n and share and cap and share > 0 and cap > 0}
     rates = {s: 0.0 for s, *_ in sources}
     if total is None and open_:
         reach = sum(share for share, _, _ in open_.values()) * min(cap * n / share for share, cap, n in open_.values())
-        total = max(reach, LEAST * sum(n for _, _, n in open_.values()))
+        total = max(reach, least * sum(n for _, _, n in open_.values()))
     elif total is None:
         return rates
     left = float(total)
@@ -45,12 +43,14 @@ def repetition_rates(sources: list[tuple[str, float, int, int]], total: float |
     return rates
 
 
-def mixed(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer, total: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer, total: float | None = None, seed: int = 0,
+          least: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(copies, shares) of a mix of `documents` to the shares of `targets` (problem 9).
 
     Sizes are counts of tokens.  Each document is emitted floor(rate) times, and once more if a
     number in [0, 1) made from `seed` and its id is below the rest of the rate: the same seed
-    gives the same mix on any cluster.  `copies` has (doc_id, source, copy, tokens), copy from 1;
+    gives the same mix on any cluster.  `total` and `least` are those of
+    `repetition_rates`.  `copies` has (doc_id, source, copy, tokens), copy from 1;
     `shares` has a row a target: what it asked for, had, got, and the shares reached.
 
     Documents of null sources or sources without target are left out; documents without tokens
@@ -67,7 +67,7 @@ def mixed(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer, total:
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     rows = targets.join(have, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)), F.coalesce("documents", F.lit(0))).collect()
-    rates = repetition_rates([tuple(r[:4]) for r in rows], total)
+    rates = repetition_rates([tuple(r[:4]) for r in rows], total, least)
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()),
                            T.StructField("max_repeats", T.IntegerType()), T.StructField("tokens_available", T.LongType()),
                            T.StructField("documents", T.LongType()), T.StructField("rate", T.DoubleType())])

@@ -185,6 +185,13 @@ def test_rates():
     assert mixing.repetition_rates([]) == {}
 
 
+def test_scarce_source_keeps_its_share():
+    """A mix without a given size isn't enlarged at the cost of a share that a smaller one reaches."""
+    sources = [("a", 0.5, 1, 1000), ("b", 0.5, 2, 10)]
+    assert mixing.repetition_rates(sources) == pytest.approx({"a": 0.02, "b": 2.0})
+    assert mixing.repetition_rates(sources, least=0.5) == pytest.approx({"a": 0.485, "b": 2.0})
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "слово " * (1 + i % 3), "big" if i % 4 else "small", "x") for i in range(2000)] + [(5000, None, "big", "x"), (5001, "a", None, "x"), (5002, "a", "other", "x")],
                                  "doc_id long, text string, source string, tokens string")
