@@ -234,6 +234,19 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     return lost or found, best if found else text
 
 
+def _odd(word: str) -> bool:
+    return bool(_ODD.search(word) or _ESCAPE.search(word) or _seams(_folded(word)))
+
+
+def _runs(marks: list[int]) -> set[tuple[int, int]]:
+    """Ranges of words to try: from the first mark to the last, marks side by side, single ones."""
+    if not marks:
+        return set()
+    cuts = [0, *(k for k in range(1, len(marks)) if marks[k] > marks[k - 1] + 2), len(marks)]
+    beside = {(marks[i], marks[j - 1] + 1) for i, j in zip(cuts[:-1], cuts[1:], strict=True)}
+    return {(marks[0], marks[-1] + 1), *beside, *((i, i + 1) for i in marks)}
+
+
 def _pieces(text: str, margin: float = 12.0) -> tuple[bool, str]:
     found, out = False, []
     for piece in _SENTENCES.split(text):
@@ -246,20 +259,22 @@ def _pieces(text: str, margin: float = 12.0) -> tuple[bool, str]:
             out.append(best)
             continue
         words = re.split(r"([ \t\r\n]+)", piece)
-        marks = [i for i in range(0, len(words), 2) if words[i] and (_ODD.search(words[i]) or _seams(_folded(words[i])))]
-        done = False
-        if marks:
-            run = "".join(words[marks[0]:marks[-1] + 1])
-            best, now, before = search(run)
-            if _better(now, before):
-                words[marks[0]:marks[-1] + 1] = [best]
-                found = done = True
-            else:
-                for i in marks:
-                    best, now, before = search(words[i], 2, 6)
-                    if before - now >= 16 and now <= 0.75 * before:
-                        words[i] = best
-                        found = done = True
+        odd = [i for i in range(0, len(words), 2) if words[i] and _odd(words[i])]
+        marks = [i for i in range(0, len(words), 2) if words[i] and (i in odd or _CASES.search(words[i]))]
+        tried = []
+        for a, b in _runs(marks) | _runs(odd):
+            single = b - a == 1
+            # among other odd words, or if only its capitals are odd, a single word needs more evidence
+            strict = single and odd != [a]
+            best, now, before = search("".join(words[a:b]), *((2, 6) if strict else ()))
+            if before - now >= 16 and now <= 0.75 * before if strict else _better(now, before):
+                tried.append((now - before, a, b, best))
+        done = set()  # places of repaired words
+        for _, a, b, best in sorted(tried):  # what saves most first
+            if not done.intersection(range(a, b)):
+                words[a:b] = [best] + [""] * (b - a - 1)
+                done.update(range(a, b))
+                found = True
         out.append("".join(words) if done else piece)
     text = "".join(out)
     if found and margin > 1.0:  # its other pieces were probably misread the same way: less evidence will do

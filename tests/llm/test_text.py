@@ -164,3 +164,13 @@ def test_oversized_table(spark):
     text = df.filter("doc_id = 1").first().text
     assert "".join(text[r.start:r.end] for r in rows if r.doc_id == 1) == text and all(r.piece_text == text[r.lead:r.end] for r in rows if r.doc_id == 1)
     assert unicodedata.is_normalized("NFC", rows[0].piece_text)
+
+
+def test_garbled_words_in_a_sound_sentence():
+    """Words in which only the capitals are odd, and single escapes, are found in sentences that are sound otherwise."""
+    sound = "Вчера вечером старый рыбак починил лодку и пошёл домой, "
+    words = "привет мир друзья мои".encode("koi8-r").decode("cp1251")
+    assert garble.repair(f"{sound}{words} сказал он жене и лёг спать.") == (True, f"{sound}привет мир друзья мои сказал он жене и лёг спать.")
+    assert garble.repair(f"{sound * 5}у Ивана &amp; сына был кот.") == (True, f"{sound * 5}у Ивана & сына был кот.")
+    for plain in ("НАТО и СССР", "вКонтакте и iPhone", "КПСС, ВЦСПС и МГУ", "ПРИВЕТ МИР"):
+        assert garble.repair(f"{sound}{plain} сказал он жене.")[0] is False
