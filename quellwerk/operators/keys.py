@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellwerk.session import written
+from quellwerk.session import release, written
 
 #: A key is hot from this share of the rows on; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 1000
@@ -49,30 +49,31 @@ def smallest_of_key(rows: DataFrame, key: str, id: str, min_members: int = 2) ->
     return spread_join(rows, per_key, key, "_n")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): connected components of an undirected edge list; root = smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each an aggregation by
     node and a join back that spreads hub nodes; edges stay in tables of the shared folder, only
-    their count and checksum reach the driver.  Nodes without an edge to another node are not
+    their count and checksum reach the driver, and each round's tables are deleted once the next
+    ones are written; rounds end when nothing changes, after about the logarithm of the longest
+    chain.  Nodes without an edge to another node are not
     returned.  Self-loops, repeated edges and nulls are dropped.
     """
     at = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
           .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
     at, before = written(at, "edges"), None
-    for _ in range(max_rounds):
+    while True:
         both = at.union(at.select("v", "u"))
         near = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n")), "near")
-        large = (spread_join(both, near, "u", "_n").filter(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = written(large, "large")
+        large = written(spread_join(both, near, "u", "_n").filter(F.col("v") > F.col("u"))
+                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        release(at, near)
         near = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "near")
         joined = spread_join(large, near, "u", "_n")
-        small = (joined.select("u", F.col("m").alias("v"))
-                 .union(joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        at = written(small, "edges")
+        at = written(joined.select("u", F.col("m").alias("v"))
+                     .union(joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        release(large, near)
         now = at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -45,7 +45,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing unfinished reads any more; other DataFrames are passed over."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def default_partitions(spark: SparkSession, per: int = 1) -> int:
