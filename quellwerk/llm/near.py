@@ -9,8 +9,9 @@ at each depth up to their overlap.  Nodes of few texts compare them; larger node
 word further, subtrees in which no pair can reach its overlap any more are cut.
 
 The level below the root is cut by a shuffle on its nodes; deeper levels are opened inside the
-task as sorts of integer arrays, nodes of too many texts already before the shuffle.  Pairs that
-meet are sifted by size, by the words passed over and by a 128-bit sketch (which never loses a
+task as sorts of integer arrays, nodes of too many texts already before the shuffle.  Nodes that
+no opening makes small (retellings of one template) are cut into blocks, and each pair of blocks is
+a task of its own.  Pairs that meet are sifted by size, by the words passed over and by a 128-bit sketch (which never loses a
 pair), and what is left is checked exactly.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from quellwerk.llm.columns import Letters, _mix, inspect, map_batches, struct_of
 from quellwerk.operators.keys import spread_join
-from quellwerk.session import default_partitions, written
+from quellwerk.session import default_partitions, release, written
 
 MIN_WORDS = 30
 #: Similarity of 3/5 or more, kept as whole numbers so that bounds are exact.
@@ -39,6 +40,10 @@ NODE_MAX = 100_000
 #: ... and one of more texts than this inside the task.
 LIGHT = 128
 DEPTH = 4
+#: A node that is still larger than NODE_MAX at DEPTH is cut into blocks of about this many texts.
+BLOCK_TEXTS = 20_000
+#: Hot nodes are broadcast up to this number, beyond it they are joined by a shuffle.
+HOT_NODES = 200_000
 CHUNK = 2_000_000
 
 
@@ -53,14 +58,14 @@ def most_skipped(size):
     return size - overlap_needed(size, smallest)
 
 
-def word_sets(df: DataFrame, id: str, text: str, words: bool) -> DataFrame:
+def word_sets(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, _unit, _letters, _words) of the texts with at least MIN_WORDS distinct words.
 
     `_letters` and `_unit` are 128-bit digests of the letters, and of letters and words together;
     texts of one unit are interchangeable.  Null and garbled texts have no words.
     """
     df = df.select(id, text)
-    schema = struct_of(df, [id], _unit=T.BinaryType(), _letters=T.BinaryType(), **({"_words": T.ArrayType(T.LongType(), False)} if words else {}))
+    schema = struct_of(df, [id], _unit=T.BinaryType(), _letters=T.BinaryType(), _words=T.ArrayType(T.LongType(), False))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         own = Letters(inspect(b.column(1))[1])
@@ -70,10 +75,9 @@ def word_sets(df: DataFrame, id: str, text: str, words: bool) -> DataFrame:
         letters = [digests[i] for i in rows]
         sets = [hashes[offsets[i]:offsets[i + 1]] for i in rows]
         units = [hashlib.blake2b(d + s.tobytes(), digest_size=16).digest() for d, s in zip(letters, sets, strict=True)]
-        out = [b.column(0).take(pa.array(rows)), pa.array(units, pa.binary()), pa.array(letters, pa.binary())]
-        if words:
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))))
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
+        out = [b.column(0).take(pa.array(rows)), pa.array(units, pa.binary()), pa.array(letters, pa.binary()),
+               pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))]
         return pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return map_batches(df, schema, one)
@@ -89,16 +93,17 @@ def units_of(sets: DataFrame, id: str) -> DataFrame:
                                       F.count("*").alias("copies")))
 
 
-def word_order(units: DataFrame) -> np.ndarray:
-    """Hashes of the frequent words by rising frequency.
+def word_order(units: DataFrame) -> tuple[np.ndarray, int]:
+    """(hashes of the frequent words by rising frequency, units that have the most frequent word at most).
 
     A word is frequent if its count is at least 1/LISTED of all words, so at most LISTED words
     reach the driver however large the corpus is.
     """
     counts = units.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     total = units.agg(F.sum(F.size("_words"))).first()[0] or 0
-    found = counts.filter(F.col("n") >= max(2, -(-total // LISTED))).orderBy("n", "word").select("word").toPandas()
-    return found["word"].to_numpy(np.int64)
+    least = max(2, -(-total // LISTED))
+    found = counts.filter(F.col("n") >= least).orderBy("n", "word").toPandas()
+    return found["word"].to_numpy(np.int64), max(least, int(found["n"].max() if len(found) else 0))
 
 
 _ENTRY = {"node": T.LongType(), "unit": T.LongType(), "side": T.ByteType(), "size": T.IntegerType(), "skip": T.IntegerType(),
@@ -111,7 +116,8 @@ def entries(units: DataFrame, order: np.ndarray) -> DataFrame:
 
     (node, unit, side, size, skip, s1, s2, window): `skip` words come before the node's word,
     `window` has 16 bits of each word after it as far as deeper nodes may need them, (s1, s2) is
-    the sketch: the parity of the number of words in each of 128 classes.
+    the sketch: the parity of the number of words in each of 128 classes.  The lowest bit of `side`
+    marks queries, the others the half of a block pair that an entry belongs to (0: none).
     """
     spark = units.sparkSession
     at = np.argsort(order, kind="stable")
@@ -217,7 +223,7 @@ def _alive(start, stop, order, size, skip, side, cross):
     smallest = np.maximum(least, -(-((NUM + DEN) * gmin + NUM * b) // DEN))  # and at least
     ok = smallest <= largest
     if cross:
-        ok &= np.maximum.reduceat(side[idx], first)[group] > 0
+        ok &= np.maximum.reduceat(side[idx] & 1, first)[group] > 0
     return idx[ok]
 
 
@@ -236,21 +242,25 @@ def _pairs(start, n, order, unit, side, size, skip, s1, s2, cross) -> Iterator[n
     idx, v = idx[o], v[o]
     u = DEN * size[idx].astype(np.int64) - (NUM + DEN) * skip[idx]
     until = np.searchsorted(node + v, node + np.minimum(u, big - 1), "right")
-    left = np.arange(len(idx))
-    rest = np.maximum(until - left - 1, 0)
+    sides = side[idx]
+    left = np.flatnonzero(sides & 1) if cross else np.arange(len(idx))
+    begin = np.repeat(np.cumsum(n) - n, n)[left] if cross else left + 1  # queries also look at smaller entries
+    rest = np.maximum(until[left] - begin, 0)
     u, v = u.astype(np.int32), v.astype(np.int32)
     ends = np.cumsum(rest)
     lo = 0
     while lo < len(left):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
-        j = _ranges(left[lo:hi] + 1, rest[lo:hi])
-        ok = u[j] >= np.repeat(v[lo:hi], rest[lo:hi])
-        i, j = idx[np.repeat(left[lo:hi], rest[lo:hi])[ok]], idx[j[ok]]
-        lo = hi
-        ok = unit[i] != unit[j]
-        if cross:
-            ok &= (side[i] | side[j]) > 0
+        j = _ranges(begin[lo:hi], rest[lo:hi])
+        i = np.repeat(left[lo:hi], rest[lo:hi])
+        ok = u[j] >= v[i]
         i, j = i[ok], j[ok]
+        if cross:  # two queries meet once
+            ok = (sides[j] & 1 == 0) | (j > i)
+            i, j = i[ok], j[ok]
+        lo = hi
+        ok = (unit[idx[i]] != unit[idx[j]]) & ((sides[i] < 2) | (sides[i] >> 1 != sides[j] >> 1))
+        i, j = idx[i[ok]], idx[j[ok]]
         a, b = size[i].astype(np.int32), size[j].astype(np.int32)
         far = np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))
         ok = far <= a + b - 2 * overlap_needed(a, b)
@@ -293,24 +303,51 @@ def tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross=False) -
             stack.append((k, en[e], sk, j, depth + 1))
 
 
-def candidates(at: DataFrame, cross: bool = False) -> DataFrame:
+def _blocks(at: DataFrame, cross: bool) -> DataFrame:
+    """Entries of nodes (with `n` texts, `q` of them queries) once for each pair of blocks they take part in."""
+    other = ~F.col("side").cast("boolean") if cross else F.lit(False)
+    mine, theirs = F.greatest(F.ceil(F.col("q") / BLOCK_TEXTS), F.lit(1)), F.greatest(F.ceil((F.col("n") - F.col("q")) / BLOCK_TEXTS), F.lit(1))
+    own = F.pmod(F.xxhash64("unit"), F.when(other, theirs).otherwise(mine))
+
+    def place(kind: int, a, b, half) -> F.Column:
+        return F.struct(F.xxhash64("node", F.lit(kind), a, b).alias("node"), (F.col("side") + F.lit(2) * half).cast("byte").alias("side"))
+
+    def among(x) -> F.Column:  # two blocks of one kind
+        return place(0, F.least(own, x), F.greatest(own, x), F.when(own == x, 0).when(own < x, 1).otherwise(2))
+
+    places = F.transform(F.sequence(F.lit(0).cast("long"), mine - 1), among)
+    if cross:
+        places = F.when(other, F.transform(F.sequence(F.lit(0).cast("long"), mine - 1), lambda x: place(1, own, x, F.lit(1)))).otherwise(
+            F.concat(places, F.transform(F.sequence(F.lit(0).cast("long"), theirs - 1), lambda x: place(1, x, own, F.lit(2)))))
+    rest = [c for c in ENTRIES.names if c not in ("node", "side")]
+    return at.select(F.explode(places).alias("_p"), *rest).select("_p.node", "unit", "_p.side", *rest[1:])
+
+
+def candidates(at: DataFrame, cross: bool = False, most: int | None = None) -> DataFrame:
     """(a, b), a < b: pairs of units that meet in the tree and pass the sieves, each once.
 
     With `cross`, pairs of two entries of side 0 are left out.  Nodes of more than NODE_MAX texts
-    are opened before the shuffle, until none is left or the window is used up.
+    are opened before the shuffle, until none is left or the window is used up; those still as
+    large then are cut into blocks, and each two blocks meet in a task.  `most` is a known bound of
+    a node's texts: no larger nodes are looked for if it is at most NODE_MAX.
     """
     spark = at.sparkSession
-    done = None
-    for _ in range(DEPTH - 1):
-        counts = at.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > NODE_MAX)
-        hot = counts.limit(1_000_000).select("node").toPandas()["node"]  # at most 1 / NODE_MAX of all entries
-        if not len(hot):
+    done, kept = None, []
+    for level in range(DEPTH if most is None or most > NODE_MAX else 0):
+        counts = written(at.groupBy("node").agg(F.count("*").alias("n"), F.sum((F.col("side") % 2) if cross else F.lit(1)).alias("q"))
+                         .filter(F.col("n") > NODE_MAX), "hot-nodes")
+        kept.append(counts)
+        found = counts.limit(HOT_NODES + 1).count()
+        if not found:
             break
-        hot = F.broadcast(spark.createDataFrame([(int(x),) for x in hot], "node long"))
         at = written(at, "entries")
-        part = at.join(hot, "node", "left_anti")
+        kept.append(at)
+        marked = (at.join(F.broadcast(counts), "node", "left") if found <= HOT_NODES else
+                  spread_join(at, counts.withColumn("_n", F.col("n")), "node", "_n", "left"))
+        part = marked.filter("n is null").select(*ENTRIES.names)
         done = part if done is None else done.union(part)
-        at = opened(at.join(hot, "node", "left_semi").select(*ENTRIES.names))
+        hot = marked.filter("q > 0")  # without a query a node has no pairs
+        at = opened(hot.select(*ENTRIES.names)) if level < DEPTH - 1 else _blocks(hot, cross)
     at = at if done is None else done.union(at)
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -335,7 +372,9 @@ def candidates(at: DataFrame, cross: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[0, lo:lo + 100_000]), pa.array(found[1, lo:lo + 100_000])], names=["a", "b"])
 
     parts = default_partitions(spark, 4)
-    return at.repartition(parts, "node").mapInArrow(run, schema).distinct()
+    pairs = written(at.repartition(parts, "node").mapInArrow(run, schema).distinct(), "pairs")
+    release(*kept)
+    return pairs
 
 
 def _concat(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
@@ -351,10 +390,13 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return p[:, keep]
 
 
-def checked(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose words are similar and whose letters differ, by the sets themselves."""
-    u = units.select("unit", "_words", "_letters")
-    both = (pairs.join(u.toDF("a", "_wa", "_la"), "a").join(u.toDF("b", "_wb", "_lb"), "b"))
+def checked(pairs: DataFrame, units: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """(a, b) of the pairs whose words are similar and whose letters differ, by the sets themselves.
+
+    `left` has the units that a is among, where that is known to be fewer than all.
+    """
+    u, v = (x.select("unit", "_words", "_letters") for x in (units if left is None else left, units))
+    both = (pairs.join(u.toDF("a", "_wa", "_la"), "a").join(v.toDF("b", "_wb", "_lb"), "b"))
     shared = F.size(F.array_intersect("_wa", "_wb"))
     return both.filter((F.col("_la") != F.col("_lb")) & (shared * (NUM + DEN) >= NUM * (F.size("_wa") + F.size("_wb")))).select("a", "b")
 
@@ -366,13 +408,16 @@ def near_units(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> tu
     (unit, id, copies) for each row of enough words.  Every link between different texts is there; copies are
     not expanded.  Ids must be unique and not null.
     """
-    units = written(units_of(word_sets(df, id, text, True), id), "units")
-    order = word_order(units)
-    at = entries(units.withColumn("side", F.lit(0)), order)
-    links = written(checked(candidates(at), units), "links")
-    rows = word_sets(df, id, text, False).select(id, "_unit")
-    members = spread_join(rows, units.select("_unit", "unit", "copies", F.col("copies").alias("_n")), "_unit", "_n")
-    return links, members.select("unit", id, "copies")
+    sets = written(word_sets(df, id, text), "sets")
+    units = written(units_of(sets, id), "units")
+    members = written(spread_join(sets.select(id, "_unit"), units.select("_unit", "unit", "copies", F.col("copies").alias("_n")), "_unit", "_n")
+                      .select("unit", id, "copies"), "members")
+    release(sets)
+    order, most = word_order(units)
+    pairs = candidates(entries(units.withColumn("side", F.lit(0)), order), most=most)
+    links = written(checked(pairs, units), "links")
+    release(pairs, units)
+    return links, members
 
 
 def near_pairs(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> DataFrame:
@@ -382,7 +427,6 @@ def near_pairs(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> Da
     at least 3/5 of the words in either.  Null, short and garbled texts are in no pair.
     """
     links, members = near_units(df, id, text)
-    members = written(members, "members")
     rows = members.select(F.col("unit").alias("a"), F.col(id).alias("_ia"))
     sizes = members.groupBy("unit").agg(F.max("copies").alias("_n"))
     left = spread_join(rows, written(links.join(sizes.toDF("a", "_n"), "a"), "sized"), "a", "_n")

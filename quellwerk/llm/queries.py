@@ -53,7 +53,7 @@ def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     index = incoming.PostIndex.build(_table(spark, sf, "anecdotes"), _table(spark, sf, "visited_posts"))
-    return index.ingest(_table(spark, sf, "incoming_posts")).filter("case").select("in_id")
+    return incoming.ingest_batches(index, _table(spark, sf, "incoming_posts")).filter("case").select("in_id")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

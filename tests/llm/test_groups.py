@@ -139,6 +139,24 @@ def test_nodes_opened_before_and_in_the_task(spark, monkeypatch, node_max):
     assert got == {(a, b) for a in range(n + 1) for b in range(a + 1, n + 1)}
 
 
+@pytest.mark.parametrize("hot_nodes", [200_000, 1])
+def test_one_long_text_among_many_short_ones(spark, monkeypatch, hot_nodes):
+    """Nodes that stay large whatever is opened are compared block by block, and lose nothing."""
+    monkeypatch.setattr(near, "NODE_MAX", 50)
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 30)
+    monkeypatch.setattr(near, "HOT_NODES", hot_nodes)
+    shared = [f"общее{i}" for i in range(27)]
+    rows = [(0, " ".join(shared + [f"длинное{j}" for j in range(13)]))]
+    rows += [(1 + i, " ".join(shared + [f"своё{i}x{j}" for j in range(3)])) for i in range(200)]
+    got = {(r.id_a, r.id_b) for r in near.near_pairs(table(spark, rows)).collect()}
+    assert got == {(a, b) for a in range(201) for b in range(a + 1, 201)}
+    # the same with 120 of them stored and the others asked
+    units = near.units_of(near.word_sets(table(spark, rows), "anecdote_id", "text"), "anecdote_id")
+    order, _ = near.word_order(units)
+    met = near.candidates(near.entries(units.withColumn("side", (F.col("unit") >= 120).cast("int")), order), cross=True)
+    assert {(r.a, r.b) for r in near.checked(met, units).collect()} == {(a, b) for a, b in got if b >= 120}
+
+
 def sequential(anecdotes, visited, posts):
     ids, texts = set(), [t for t in anecdotes if t]
     known, out = {letters(t) for t in texts} - {""}, []
@@ -154,7 +172,8 @@ def sequential(anecdotes, visited, posts):
     return out
 
 
-def test_incoming(spark):
+@pytest.mark.parametrize("limit, settle", [(200_000, 500_000), (3, 2)])
+def test_incoming(spark, monkeypatch, limit, settle):
     texts = retellings(120, 9)
     anecdotes = [*texts[:30], None, ""]
     r = random.Random(1)
@@ -169,10 +188,17 @@ def test_incoming(spark):
     index = incoming.PostIndex.build(stored, states)
     once = sorted(x.in_id for x in index.ingest(df).filter("case").collect())
     assert once == want and 20 < len(want) < len(posts) - 20
+    monkeypatch.setattr(incoming, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(incoming, "SETTLE", settle)
     index, found = incoming.PostIndex.build(stored, states), []
-    for batch in range(4):
-        found += [x.in_id for x in index.ingest(df.filter(F.col("key") == batch)).filter("case").collect()]
+    for batch in range(4):  # each by a job that knows the path only
+        found += [x.in_id for x in incoming.PostIndex.open(spark, index.path).ingest(df.filter(F.col("key") == batch)).filter("case").collect()]
     assert sorted(found) == want
+    batches = incoming.ingest_batches(incoming.PostIndex.build(stored, states), df.withColumn("batch", F.when(F.col("key") > 0, F.col("key"))), "batch")
+    assert sorted(x.in_id for x in batches.filter("case").collect()) == want
+    assert incoming.ingest_batches(incoming.PostIndex.open(spark, index.path), df.limit(0), "key").count() == 0
+    with pytest.raises(RuntimeError):  # others have appended since it was opened
+        index.ingest(df.limit(1))
     empty = incoming.PostIndex.build(stored.limit(0), states.limit(0))
     assert empty.ingest(df.limit(0)).count() == 0
 
