@@ -37,8 +37,8 @@ NUM, DEN = 3, 5
 LISTED = 100_000
 #: A node of more texts than this is opened before the shuffle ...
 NODE_MAX = 100_000
-#: ... and one of more texts than this inside the task.
-LIGHT = 128
+#: ... and one of more texts than this inside the task, if queries are asked and it has more than so many.
+LIGHT, FEW = 128, 48
 DEPTH = 4
 #: A node that is still larger than NODE_MAX at DEPTH is cut into blocks of about this many texts.
 BLOCK_TEXTS = 20_000
@@ -106,6 +106,9 @@ def word_order(units: DataFrame) -> tuple[np.ndarray, int]:
     return found["word"].to_numpy(np.int64), max(least, int(found["n"].max() if len(found) else 0))
 
 
+#: Which pairs count beside all: those with a query, or those of a query and a stored text only.
+AMONG, STORED = 1, 2
+
 _ENTRY = {"node": T.LongType(), "unit": T.LongType(), "side": T.ByteType(), "size": T.IntegerType(), "skip": T.IntegerType(),
           "s1": T.LongType(), "s2": T.LongType(), "window": T.BinaryType()}
 ENTRIES = T.StructType([T.StructField(k, v) for k, v in _ENTRY.items()])
@@ -255,8 +258,8 @@ def _pairs(start, n, order, unit, side, size, skip, s1, s2, cross) -> Iterator[n
         i = np.repeat(left[lo:hi], rest[lo:hi])
         ok = u[j] >= v[i]
         i, j = i[ok], j[ok]
-        if cross:  # two queries meet once
-            ok = (sides[j] & 1 == 0) | (j > i)
+        if cross:  # two queries meet once, or not here
+            ok = (sides[j] & 1 == 0) | ((j > i) if cross == AMONG else False)
             i, j = i[ok], j[ok]
         lo = hi
         ok = (unit[idx[i]] != unit[idx[j]]) & ((sides[i] < 2) | (sides[i] >> 1 != sides[j] >> 1))
@@ -268,10 +271,11 @@ def _pairs(start, n, order, unit, side, size, skip, s1, s2, cross) -> Iterator[n
         yield np.stack((np.minimum(i, j), np.maximum(i, j)))
 
 
-def tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross=False) -> Iterator[np.ndarray]:
+def tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross=0) -> Iterator[np.ndarray]:
     """Candidate pairs of one task's entries; the tree below them is opened as far as it pays.
 
     Entries may come from any depth; nodes at DEPTH are compared whole, since windows reach no further.
+    `cross` says which pairs count: 0 all, AMONG those with a query, STORED those of a query and another text.
     """
     depths = _depths(size, skip, np.diff(off))
     stack = []
@@ -286,6 +290,10 @@ def tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross=False) -
         n = np.diff(np.concatenate((start, [len(ks)])))
         heavy = (n > LIGHT) & (depth < DEPTH)
         light = ~heavy & (n > 1)
+        if cross and len(n):  # nodes without a query have no pairs, those of few are compared sooner than opened
+            asked = np.add.reduceat((side[entry[order]] & 1).astype(np.int64), start)
+            light = (light | (asked <= FEW)) & (asked > 0) & (n > 1)
+            heavy &= asked > FEW
         if light.any():
             yield from _pairs(start[light], n[light], order, unit[entry], side[entry], size[entry], skips, s1[entry], s2[entry], cross)
         begin, count = start[heavy], n[heavy]
@@ -300,6 +308,12 @@ def tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross=False) -
             offs = np.concatenate(([0], np.cumsum(off[en + 1] - off[en])))
             vals = values[_ranges(off[en], off[en + 1] - off[en])]
             e, j, k, sk = _children(key[idx], size[en], skips[idx], cur[idx], offs, vals)
+            if cross:  # only children that a query has too, but for collisions
+                seen = np.zeros(1 << 20, bool)
+                low = k & (len(seen) - 1)
+                seen[low[side[en[e]] & 1 > 0]] = True
+                keep = np.flatnonzero(seen[low])
+                e, j, k, sk = e[keep], j[keep], k[keep], sk[keep]
             stack.append((k, en[e], sk, j, depth + 1))
 
 
@@ -326,7 +340,7 @@ def _blocks(at: DataFrame, cross: bool) -> DataFrame:
 def candidates(at: DataFrame, cross: bool = False, most: int | None = None) -> DataFrame:
     """(a, b), a < b: pairs of units that meet in the tree and pass the sieves, each once.
 
-    With `cross`, pairs of two entries of side 0 are left out.  Nodes of more than NODE_MAX texts
+    With `cross`, pairs of two stored texts (even `side`) are left out.  Nodes of more than NODE_MAX texts
     are opened before the shuffle, until none is left or the window is used up; those still as
     large then are cut into blocks, and each two blocks meet in a task.  `most` is a known bound of
     a node's texts: no larger nodes are looked for if it is at most NODE_MAX.
@@ -349,34 +363,84 @@ def candidates(at: DataFrame, cross: bool = False, most: int | None = None) -> D
         hot = marked.filter("q > 0")  # without a query a node has no pairs
         at = opened(hot.select(*ENTRIES.names)) if level < DEPTH - 1 else _blocks(hot, cross)
     at = at if done is None else done.union(at)
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _concat(batches)
-        if table is None:
-            return
-        node, unit, side, size, skip, s1, s2 = (table.column(i).to_numpy() for i in range(7))
-        windows = table.column(7).cast(pa.large_binary()).combine_chunks()
-        windows = windows.chunk(0) if isinstance(windows, pa.ChunkedArray) else windows
-        off = np.frombuffer(windows.buffers()[1], np.int64)[windows.offset:windows.offset + len(windows) + 1] // 2
-        values = np.frombuffer(windows.buffers()[2] or b"", np.uint16)
-        found = np.zeros((2, 0), np.int64)
-        parts, size_ = [], 0
-        for p in tree_pairs(node, unit, side, size, skip, s1, s2, off, values, cross):
-            parts.append(p)
-            size_ += p.shape[1]
-            if size_ > CHUNK:
-                found, parts, size_ = _distinct(np.concatenate([found, *parts], 1)), [], 0
-        found = _distinct(np.concatenate([found, *parts], 1))
-        for lo in range(0, found.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[0, lo:lo + 100_000]), pa.array(found[1, lo:lo + 100_000])], names=["a", "b"])
+        if table is not None:
+            yield from _met(_columns(table), AMONG if cross else 0)
 
     parts = default_partitions(spark, 4)
-    pairs = written(at.repartition(parts, "node").mapInArrow(run, schema).distinct(), "pairs")
+    pairs = written(at.repartition(parts, "node").mapInArrow(run, PAIRS).distinct(), "pairs")
     release(*kept)
     return pairs
 
 
+def probed(stored: DataFrame, queries: DataFrame) -> DataFrame:
+    """(a, b), a < b: like `candidates`, pairs of a query and a stored text only.
+
+    `queries` (entries of odd side) are taken to be few and sent to every task; `stored` is read
+    where it lies, in chunks, without a shuffle.  A node may be in any number of chunks.
+    """
+    shared = stored.sparkSession.sparkContext.broadcast(_packed(queries.select(*ENTRIES.names).toArrow()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None
+        for table in _chunks(batches, CHUNK // 8):
+            if asked is None:
+                asked = pa.ipc.open_stream(shared.value).read_all()
+                nodes = asked.column(0).to_numpy()
+            mine = np.flatnonzero(np.isin(nodes, table.column(0).to_numpy()))
+            if len(mine):
+                yield from _met(_columns(pa.concat_tables([table, asked.take(pa.array(mine))])), STORED)
+
+    return written(stored.select(*ENTRIES.names).mapInArrow(run, PAIRS).distinct(), "pairs")
+
+
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Columns of entries as arrays, windows as offsets and values."""
+    windows = table.column(7).cast(pa.large_binary()).combine_chunks()
+    windows = windows.chunk(0) if isinstance(windows, pa.ChunkedArray) else windows
+    off = np.frombuffer(windows.buffers()[1], np.int64)[windows.offset:windows.offset + len(windows) + 1] // 2
+    return *(table.column(i).to_numpy() for i in range(7)), off, np.frombuffer(windows.buffers()[2] or b"", np.uint16)
+
+
+def _met(columns: tuple[np.ndarray, ...], cross: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a task's entries, each once."""
+    found, parts, size = np.zeros((2, 0), np.int64), [], 0
+    for p in tree_pairs(*columns, cross):
+        parts.append(p)
+        size += p.shape[1]
+        if size > CHUNK:
+            found, parts, size = _distinct(np.concatenate([found, *parts], 1)), [], 0
+    found = _distinct(np.concatenate([found, *parts], 1))
+    for lo in range(0, found.shape[1], 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(found[0, lo:lo + 100_000]), pa.array(found[1, lo:lo + 100_000])], names=["a", "b"])
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches put together to tables of about so many rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _concat(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
     batches = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(batches) if batches else None

