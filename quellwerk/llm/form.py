@@ -28,6 +28,8 @@ for _row in zip(LATIN, CYRILLIC, GREEK, strict=True):
     for _c in _row:
         if _c != " ":
             _CLASS[_c] = _row[0]
+# The Greek capital nu is drawn like the Latin N, but also written for the Cyrillic letter of its sound.
+_ALIKE["cyrillic"]["Ν"] = "Н"
 ALIKE_FROM = "".join(c for c, r in _CLASS.items() if c != r)
 ALIKE_TO = "".join(r for c, r in _CLASS.items() if c != r)
 _TO_CLASS = str.maketrans(ALIKE_FROM, ALIKE_TO)

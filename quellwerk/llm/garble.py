@@ -18,13 +18,19 @@ import heapq
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
 from quellwerk.llm import form
 
-# Charsets that web pages in these languages are confused among.
-CHARSETS = ("cp1251", "cp1252", "koi8-r", "cp866", "iso8859-5")
+# Charsets that web pages in these languages are confused among, and less usual ones.
+CHARSETS = ("cp1251", "cp1252", "koi8-r", "cp866", "iso8859-5", "cp1250", "mac-cyrillic", "mac-roman", "cp437")
+USUAL, RARE = CHARSETS[:5], CHARSETS[5:]
+#: Bits that a less usual charset adds to the price of an operation.
+RARE_BITS = 8.0
+#: A state this many bits dearer than the best text met so far is not expanded, nor is anything behind it.
+HORIZON = 10.0
 
 # Bits a letter costs, from published letter frequencies of Russian/Ukrainian and
 # English/German text, in alphabetical order.
@@ -136,7 +142,7 @@ def _unescape(text: str) -> str:
     return _ESCAPE.sub(one, text)
 
 
-def neighbours(text: str, below: float = float("inf"), price: float = 10.0):
+def neighbours(text: str, below: float = float("inf"), price: float = 10.0, charsets: tuple[str, ...] = CHARSETS):
     """(text, cost) one operation away from `text`, those that can cost less than `below`.
 
     The operations are unescape, and encode with one charset followed by decode with another.
@@ -147,7 +153,8 @@ def neighbours(text: str, below: float = float("inf"), price: float = 10.0):
         yield t, cost(t) + 4.0
     if text.isascii():
         return
-    for enc in CHARSETS:
+    for enc in charsets:
+        extra = RARE_BITS * (enc in RARE)
         try:
             raw = codecs.charmap_encode(text, "strict", _TO_BYTE[enc])[0]
         except UnicodeEncodeError:
@@ -155,50 +162,61 @@ def neighbours(text: str, below: float = float("inf"), price: float = 10.0):
         try:
             t = raw.decode("utf-8")
         except UnicodeDecodeError:
-            units = _BYTE_BITS[:, np.frombuffer(raw, np.uint8)].sum(1)
-            for dec, u in zip(CHARSETS, units, strict=True):
-                if dec != enc and u + price < below:
+            units = _BYTE_BITS[:len(charsets), np.frombuffer(raw, np.uint8)].sum(1)
+            for dec, u in zip(charsets, units, strict=True):
+                paid = price + extra + RARE_BITS * (dec in RARE)
+                if dec != enc and u + paid < below:
                     t = codecs.charmap_decode(raw, "strict", _TO_CHAR[dec])[0]
-                    yield t, float(u) + price + _shape(t)
+                    yield t, float(u) + paid + _shape(t)
         else:
-            yield t, cost(t) + 4.0
+            yield t, cost(t) + 4.0 + extra
 
 
-def search(text: str, depth: int = 3, expansions: int = 8, slack: float = 0.0, price: float = 10.0) -> tuple[str, float, float]:
-    """Cheapest text reachable from `text`: (text, its cost, cost of the original).
+def search(text: str, price: float = 10.0, charsets: tuple[str, ...] = CHARSETS, depth: int | None = None,
+           expansions: int | None = None) -> tuple[str, float, float]:
+    """Cheapest text reachable from `text`: (text, its cost, cost of the original).  `charsets` are the first ones of CHARSETS.
 
-    Best-first: the cheapest open state is expanded next, at most `expansions` of them and none
-    deeper than `depth`; states that cost more than the original plus `slack` are not entered.
-    Among equal costs the smaller text is taken first.
+    Best-first: the cheapest open state is expanded next, so the search ends with the first
+    state that lies beyond the HORIZON of the best text met.  Each operation adds its price to all states behind it,
+    which keeps the search finite.  `depth` and `expansions` can limit it
+    further and are off by default.  Among equal costs the smaller text is taken first.
     """
     start = cost(text)
     if _SEAM.search(text):  # look-alike letters are a matter of spelling, not of encoding
         start = min(start, cost(_folded(text)) + 2.0)
     best, best_cost = text, start
-    seen, heap = {hash(text)}, [(start, text, 0)]
-    while heap and expansions:
-        c, state, at = heapq.heappop(heap)
-        if c > best_cost + 20:  # all open states are far from the best, which has been expanded
+    seen, heap = {hash(text)}, [(start, text, 0, 0.0)]
+    while heap and expansions != 0:
+        c, state, at, paid = heapq.heappop(heap)
+        if c > best_cost + HORIZON:
             break
         if at == depth:
             continue
-        expansions -= 1
-        for nxt, k in neighbours(state, min(start + slack, best_cost + 40.0), price):
+        expansions = expansions and expansions - 1
+        for nxt, k in neighbours(state, best_cost + HORIZON - paid, price, charsets):
             if (h := hash(nxt)) in seen:
                 continue
             seen.add(h)
-            k += c - cost(state) if at else 0.0  # price of the steps so far
-            if k < best_cost:
-                best, best_cost = nxt, k
-            if k < start + slack:
-                heapq.heappush(heap, (k, nxt, at + 1))
+            own = k + paid
+            if own < best_cost:
+                best, best_cost = nxt, own
+            if own < best_cost + HORIZON:
+                heapq.heappush(heap, (own, nxt, at + 1, own - cost(nxt)))
     return best, best_cost, start
 
 
+_search_word = lru_cache(100_000)(search)  # odd words come up again and again
+
+
 def _better(now: float, before: float, margin: float = 12.0) -> bool:
     return before - now >= margin and now <= (1 - margin / 600) * before
 
 
+def _cleared(text: str, best: str, now: float, before: float) -> bool:
+    """Whether `best` is sound while `text` has words of two scripts that no look-alikes explain: then less has to be saved."""
+    return before - now >= 2.0 and _seams(_folded(text)) > 0 and not _suspicious(best)
+
+
 _SENTENCES = re.compile(r"(?<=[.!?])(?=[ \n])|(?<=\n)")
 _SOUND = "\\x00-\\x7fА-Яа-яЁёІіЇїЄєҐґÄÖÜäöüß«»“”„’‘…–—№ ­\u2000-\u200f\u202f\u2060\u3000\ufeff！-～ﬀ-ﬆ̀-ͯΑ-ω"
 # accented letters are sound between plain letters, not in a row or beside other signs
@@ -224,14 +242,23 @@ def repair(text: str | None) -> tuple[bool, str | None]:
         return lost, text
     if not lost and _SEAM.search(text) and not _suspicious(_folded(text)):
         return False, text
-    best, now, before = search(text)
-    found = _better(now, before)
+    found, best = _repaired(text, lost, USUAL)
+    if _ODD.search(best):  # less usual charsets where the others leave signs that sound text doesn't have
+        also, other = _repaired(text, lost, CHARSETS)
+        if also and cost(other) + 3 * RARE_BITS < cost(best):
+            found, best = True, other
+    return lost or found, best if found else text
+
+
+def _repaired(text: str, lost: bool, charsets: tuple[str, ...]) -> tuple[bool, str]:
+    best, now, before = search(text, charsets=charsets)
+    found = _better(now, before) or _cleared(text, best, now, before)
     if found and (lost or not _suspicious(best)):
         return True, best
-    found_in, pieced = _pieces(text)
+    found_in, pieced = _pieces(text, charsets)
     if found_in and (not found or cost(pieced) < now):
-        found, best = True, pieced
-    return lost or found, best if found else text
+        return True, pieced
+    return found, best if found else text
 
 
 def _odd(word: str) -> bool:
@@ -247,14 +274,14 @@ def _runs(marks: list[int]) -> set[tuple[int, int]]:
     return {(marks[0], marks[-1] + 1), *beside, *((i, i + 1) for i in marks)}
 
 
-def _pieces(text: str, margin: float = 12.0) -> tuple[bool, str]:
+def _pieces(text: str, charsets: tuple[str, ...], margin: float = 12.0) -> tuple[bool, str]:
     found, out = False, []
     for piece in _SENTENCES.split(text):
         if not piece or not _suspicious(piece):
             out.append(piece)
             continue
-        best, now, before = search(piece, price=min(10.0, margin))
-        if _better(now, before, margin):
+        best, now, before = search(piece, min(10.0, margin), charsets)
+        if _better(now, before, margin) or _cleared(piece, best, now, before):
             found = True
             out.append(best)
             continue
@@ -266,7 +293,7 @@ def _pieces(text: str, margin: float = 12.0) -> tuple[bool, str]:
             single = b - a == 1
             # among other odd words, or if only its capitals are odd, a single word needs more evidence
             strict = single and odd != [a]
-            best, now, before = search("".join(words[a:b]), *((2, 6) if strict else ()))
+            best, now, before = (_search_word if single else search)("".join(words[a:b]), 10.0, charsets)
             if before - now >= 16 and now <= 0.75 * before if strict else _better(now, before):
                 tried.append((now - before, a, b, best))
         done = set()  # places of repaired words
@@ -278,5 +305,5 @@ def _pieces(text: str, margin: float = 12.0) -> tuple[bool, str]:
         out.append("".join(words) if done else piece)
     text = "".join(out)
     if found and margin > 1.0:  # its other pieces were probably misread the same way: less evidence will do
-        return True, _pieces(text, 1.0)[1]
+        return True, _pieces(text, charsets, 1.0)[1]
     return found, text
