@@ -12,29 +12,28 @@ from pyspark.sql import types as T
 from quellwerk.llm import form as M
 from quellwerk.llm.columns import irregular, map_batches, struct_of
 from quellwerk.llm.garble import repair
+from quellwerk.llm.near import expanded
 from quellwerk.operators.keys import spread_join
-from quellwerk.session import default_partitions, written
+from quellwerk.session import default_partitions, release, written
 
-def _plained(df: DataFrame) -> DataFrame:
-    """(id, text, irregular, plain, mixed) of each row that is not garbled.
+#: Classes of one form that are met together in a task.
+SLICE = 1_000
 
-    In irregular rows ignorables, compatibility forms, accents and spaces are put right in
-    `plain`, and `mixed` lists the words of two scripts; both are null in regular rows.
-    """
-    schema = struct_of(df, ["id", "text"], irregular=T.BooleanType(), plain=T.StringType(), mixed=T.ArrayType(T.StringType()))
+
+def _screened(df: DataFrame) -> DataFrame:
+    """(id, text, irregular, tokens) of each row that is not garbled; `tokens` has the irregular words of irregular rows."""
+    schema = struct_of(df, ["id", "text"], irregular=T.BooleanType(), tokens=T.ArrayType(T.StringType()))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         odd = irregular(b.column(1))
-        keep, plains, mixed = np.ones(len(odd), bool), [None] * len(odd), [None] * len(odd)
+        keep, tokens = np.ones(len(odd), bool), [None] * len(odd)
         where = np.flatnonzero(odd)
         for i, t in zip(where, b.column(1).take(pa.array(where)).to_pylist(), strict=True):
             keep[i] = not repair(t)[0]
             if keep[i]:
-                plains[i] = p = M.plain(t)
-                mixed[i] = list({w for w in M._WORD.findall(p) if M._TWO.search(w)}) if M._TWO.search(p) else []
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(odd), pa.array(plains, pa.string()), pa.array(mixed, pa.list_(pa.string()))],
-            names=schema.names).filter(pa.array(keep))
+                tokens[i] = list({w for w in M.TOKEN.findall(t) if M.irregular_word(w)})
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(odd), pa.array(tokens, pa.list_(pa.string()))],
+                                          names=schema.names).filter(pa.array(keep))
 
     return map_batches(df, schema, one)
 
@@ -43,13 +42,16 @@ def _plained(df: DataFrame) -> DataFrame:
 def _respelled(texts: pd.Series, words: pd.Series, spellings: pd.Series) -> pd.Series:
     def one(text: str, words, spellings) -> str:
         known = {w: s for w, s in zip(words, spellings, strict=True)} if words is not None else {}
-        if text is None or not M._TWO.search(text):
-            return text
-        return M._WORD.sub(lambda m: known.get(m.group()) or M.fold_word(m.group()), text)
+        return M.consistent(M.TOKEN.sub(lambda m: known.get(m.group(), m.group()), text) if known and text else text)
 
     return pd.Series([one(*row) for row in zip(texts, words, spellings, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _skeletons(tokens: pd.Series) -> pd.Series:
+    return tokens.map(M.skeleton)
+
+
 def canonical_spellings(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, spelling): the word of `vocabulary` (word, n) that each `token` looks like.
 
@@ -64,7 +66,7 @@ def canonical_spellings(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     buckets = default_partitions(tokens.sparkSession)
 
     def match(words: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-        trie = M.VocabularyTrie(zip(words["word"], words["n"], strict=True))
+        trie = M.VocabularyTrie(zip(words["word"], words["n"], strict=True))  # a bucket's words that some token looks like
         found = [(t, trie.canonical(t)) for t in tokens["token"]]
         return pd.DataFrame([(t, s) for t, s in found if s], columns=["token", "spelling"])
 
@@ -76,43 +78,52 @@ def canonical_spellings(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def consistent_forms(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> DataFrame:
     """(id, text, form, irregular): consistent form of each text (problem 7).
 
-    Words of one script in plain characters are their own form.  In the other rows ignorables are
-    removed, compatibility forms replaced and accents composed by table; each word that mixes
-    scripts is then looked up in a trie of the words that the regular rows spell with one script,
-    at zero cost for look-alikes, and takes the most frequent spelling that keeps its own script;
-    words the vocabulary does not have are folded by table.
+    Words of one script in plain characters are their own form.  Every other word, be it full-width,
+    decomposed, broken by ignorables or of mixed scripts, is looked up in tries of the words that
+    the regular rows use, at zero cost for ignorables, compatibility forms, accents and
+    look-alikes, and takes the most frequent spelling that keeps its own script; what the
+    vocabulary does not have is put right by table, like everything beside words.
 
     Null texts have a null form, "" is its own form; garbled texts take no part and are left out.
     """
-    seen = written(_plained(df.select(F.col(id).alias("id"), F.col(text).alias("text"))), "plained")
+    seen = written(_screened(df.select(F.col(id).alias("id"), F.col(text).alias("text"))), "screened")
     odd = F.col("irregular")
-    tokens = (seen.select(F.explode("mixed").alias("token")).distinct()
-              .withColumn("skeleton", F.translate("token", M.ALIKE_FROM, M.ALIKE_TO)))
-    tokens = written(tokens, "tokens")
+    tokens = written(seen.select(F.explode("tokens").alias("token")).distinct().withColumn("skeleton", _skeletons("token")), "tokens")
     vocabulary = (seen.filter(~odd).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
                   .groupBy("word").agg(F.count("*").alias("n")))
     spellings = canonical_spellings(tokens, vocabulary)
-    known = (seen.select("id", F.explode("mixed").alias("token")).join(spellings, "token")
+    known = (seen.select("id", F.explode("tokens").alias("token")).join(spellings, "token")
              .groupBy("id").agg(F.collect_list("token").alias("_w"), F.collect_list("spelling").alias("_s")))
     respelled = (seen.filter(odd).join(known, "id", "left")
-                 .select("id", "text", _respelled("plain", "_w", "_s").alias("form"), odd))
+                 .select("id", "text", _respelled("text", "_w", "_s").alias("form"), odd))
     return seen.filter(~odd).select("id", "text", F.col("text").alias("form"), odd).union(respelled)
 
 
-def lookalike_pairs(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of texts that differ as stored but have one consistent form.
+def lookalike_classes(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members) of the texts that differ as stored but have one consistent form.
 
-    Two regular rows with one form are equal as stored, so only forms that an irregular row has
-    can give pairs: all rows are cut down to those forms before any of them meet.  Forms without
-    letters or digits, null and garbled texts give no pairs.
+    A class is all rows of one stored text; `links` has (a, b), a < b: classes of one form, each named by
+    its smallest id; `members` has (unit, id, copies) for each row of a linked class.  Two regular rows with
+    one form are equal as stored, so only forms that an irregular row has can give links.  Copies
+    meet only in their class; a form of many classes is met in slices of SLICE classes.  Forms
+    without letters or digits, null and garbled texts give no links.
     """
     forms = consistent_forms(df, id, text).filter(F.col("form").rlike(r"[\p{L}\p{N}]"))
-    keyed = forms.select("id", F.md5("form").alias("key"), F.md5("text").alias("raw"), "irregular")
-    keyed = written(keyed, "forms")
-    counts = (keyed.groupBy("key").agg(F.count("*").alias("_n"), F.max("irregular").alias("odd"), F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-              .filter(F.col("odd") & (F.col("lo") != F.col("hi"))).select("key", "_n"))
-    counts = written(counts, "counts")
-    rows = written(spread_join(keyed.select("id", "key", "raw"), counts.withColumn("n", F.col("_n")), "key", "_n"), "members")
-    right = rows.select(F.col("id").alias("id_b"), "key", F.col("raw").alias("raw_b"))
-    pairs = rows.select(F.col("id").alias("id_a"), "key", F.col("raw").alias("raw_a")).join(right, "key")
-    return pairs.filter((F.col("id_a") < F.col("id_b")) & (F.col("raw_a") != F.col("raw_b"))).select("id_a", "id_b")
+    keyed = written(forms.select(F.col("id"), F.unhex(F.md5("form")).alias("key"), F.unhex(F.md5(F.concat("form", F.lit("\0"), "text"))).alias("raw"), "irregular"), "forms")
+    classes = written(keyed.groupBy("key", "raw").agg(F.min("id").alias("unit"), F.count("*").alias("copies"), F.max("irregular").alias("odd")), "classes")
+    per_key = written(classes.groupBy("key").agg(F.count("*").alias("n"), F.max("odd").alias("odd")).filter(F.col("odd") & (F.col("n") > 1))
+                      .select("key", "n", F.col("n").alias("_n")), "per-key")
+    several = written(spread_join(classes.select("key", "raw", "unit", "copies"), per_key, "key", "_n"), "several")
+    slices = F.ceil(F.col("n") / SLICE)
+    left = several.select("key", F.pmod(F.xxhash64("raw"), slices).alias("slice"), F.col("unit").alias("a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), F.col("unit").alias("b"))
+    links = written(left.join(right, ["key", "slice"]).filter("a < b").select("a", "b"), "links")
+    members = written(spread_join(keyed.select("id", "raw"), several.select("raw", "unit", "copies", F.col("copies").alias("_n")), "raw", "_n")
+                      .select("unit", F.col("id").alias(id), "copies"), "members")
+    release(keyed, classes, per_key, several)
+    return links, members
+
+
+def lookalike_pairs(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of texts that differ as stored but have one consistent form: the links between classes, expanded."""
+    return expanded(*lookalike_classes(df, id, text), id)

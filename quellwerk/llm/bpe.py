@@ -30,8 +30,8 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that cuts text into runs before byte-level merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-#: States and outputs kept at most; when more are met the tables are emptied and grow again.
-MAX_STATES, MAX_RUNS = 120_000, 300_000
+#: States, pairs of tokens and outputs kept at most; when more are met the tables are emptied and grow again.
+MAX_STATES, MAX_FOLLOWS, MAX_RUNS = 120_000, 500_000, 300_000
 
 
 class Transducer:
@@ -58,11 +58,14 @@ class Transducer:
         self._reset()
         self.runs: dict[str, bytes] = {}
 
-    def _reset(self) -> None:
+    def _reset(self, at: tuple | None = None) -> int:
+        """Empty the tables but for the first state and `at`, whose new number is returned."""
         # a state: ((trie node, tokens pending before it), ...), oldest place first; the last emitted token
-        self.states: list[tuple] = [(((0, ()),), -1)]
-        self.number = {self.states[0]: 0}
-        self.step: list[dict[int, tuple[int, tuple]]] = [{}]
+        first = (((0, ()),), -1)
+        self.states: list[tuple] = [first, *([at] if at not in (None, first) else [])]
+        self.number = {s: i for i, s in enumerate(self.states)}
+        self.step: list[dict[int, tuple[int, tuple]]] = [{} for _ in self.states]
+        return len(self.states) - 1
 
     def merge(self, text: bytes) -> list[int]:
         """Encoding by the definition: join the pair of lowest rank until there is none.  For short strings."""
@@ -80,6 +83,8 @@ class Transducer:
             return True
         known = self.follows.get((a, b))
         if known is None:
+            if len(self.follows) >= MAX_FOLLOWS:
+                self.follows.clear()
             known = self.follows[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
@@ -112,12 +117,15 @@ class Transducer:
         return result
 
     def encode_run(self, run: bytes) -> list[int]:
-        """Ids of one run."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
+        """Ids of one run, of any length: when the tables are full, they start again from the state reached."""
         state, out = 0, []
         for byte in run:
-            state, emitted = self.step[state].get(byte) or self._move(state, byte)
+            found = self.step[state].get(byte)
+            if found is None:
+                if len(self.states) >= MAX_STATES:
+                    state = self._reset(self.states[state])
+                found = self._move(state, byte)
+            state, emitted = found
             if emitted:
                 out += emitted
         out += self.states[state][0][-1][1]

@@ -11,6 +11,8 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
+import regex
+
 # Letters that look the same, a column for each of Latin, Cyrillic and Greek; a
 # blank where a script has no such letter.
 LATIN = "ABCEHIJKMNOPSTXYZaceijopsxyvuëïËÏ"
@@ -101,36 +103,56 @@ def skeleton(word: str) -> str:
     return plain(word).translate(_TO_CLASS)
 
 
+#: A word with the marks and ignorables in and beside it.
+TOKEN = regex.compile(r"[\p{L}\p{M}\p{Cf}]+")
+_REGULAR = regex.compile(r"[A-Za-zÄÖÜäöüßА-яЁІЇЄҐёіїєґ]*")
+
+
+def irregular_word(word: str) -> bool:
+    """Whether a word may be another word in disguise: odd characters, or letters of two scripts."""
+    return not _REGULAR.fullmatch(word) or bool(_TWO.search(word))
+
+
 class VocabularyTrie:
-    """Words with their frequencies in a trie, searched by a weighted edit automaton.
+    """Words with their frequencies in a trie of their decomposed characters, searched by a weighted edit automaton.
 
-    Reading a character that looks like the edge's costs 0, an ignorable in the token costs 0,
-    anything else costs 1 and is cut off at once by the bound of 0: what remains is exactly the
-    set of words that look like the token.
+    Reading an ignorable costs 0, as does a character whose decomposed compatibility form follows the
+    edges or looks like them; anything else costs 1 and is cut off at once by the bound of 0: what
+    remains is exactly the set of words that look like the token.
     """
 
     def __init__(self, words: Iterable[tuple[str, int]]):
         self.root: dict = {}
         for word, n in words:
             node = self.root
-            for c in word:
+            for c in unicodedata.normalize("NFD", word):
                 node = node.setdefault(c, {})
-            node[""] = node.get("", 0) + n
+            ends = node.setdefault("", {})
+            ends[word] = ends.get(word, 0) + n
 
     def matches(self, token: str) -> list[tuple[str, int]]:
         """(word, frequency) of the words at distance 0."""
-        states = [("", self.root)]
+        nodes = [self.root]
         for c in token:
             if _ignorable(c):
                 continue
-            rep = _CLASS.get(c, c)
-            states = [(w + e, child) for w, node in states for e, child in node.items() if e and (e == c or _CLASS.get(e, e) == rep)]
-            if not states:
+            for d in unicodedata.normalize("NFKD", c):
+                rep = _CLASS.get(d, d)
+                nodes = [child for node in nodes for e, child in node.items() if e and (e == d or _CLASS.get(e, e) == rep)]
+            if not nodes:
                 return []
-        return [(w, node[""]) for w, node in states if "" in node]
+        return [x for node in nodes for x in node.get("", {}).items()]
 
     def canonical(self, token: str) -> str | None:
-        """Most frequent word that looks like `token` and keeps its own script, else None."""
-        own = {script(c) for c in token if c not in _CLASS} - {None}
-        found = [(n, w) for w, n in self.matches(token) if not own or {script(c) for c in w if c not in _CLASS} - {None} <= own]
+        """Most frequent word that looks like `token` and keeps its own script, else None.
+
+        Its own script is that of its letters that look like no other script's; a token of one script keeps it.
+        """
+        letters = plain(token)
+        own = {script(c) for c in letters if c not in _CLASS} - {None}
+        kinds = {script(c) for c in letters} - {None}
+        if len(kinds) == 1:
+            found = [(n, w) for w, n in self.matches(token) if w == letters]
+        else:
+            found = [(n, w) for w, n in self.matches(token) if not own or {script(c) for c in w if c not in _CLASS} - {None} <= own]
         return max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]]))[1] if found else None

@@ -490,7 +490,11 @@ def near_pairs(df: DataFrame, id: str = "anecdote_id", text: str = "text") -> Da
     Two texts are near if each has at least MIN_WORDS distinct words and the words in both are
     at least 3/5 of the words in either.  Null, short and garbled texts are in no pair.
     """
-    links, members = near_units(df, id, text)
+    return expanded(*near_units(df, id, text), id)
+
+
+def expanded(links: DataFrame, members: DataFrame, id: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the rows of linked units.  Both sides are spread, so a unit may hold any part of the rows."""
     rows = members.select(F.col("unit").alias("a"), F.col(id).alias("_ia"))
     sizes = members.groupBy("unit").agg(F.max("copies").alias("_n"))
     left = spread_join(rows, written(links.join(sizes.toDF("a", "_n"), "a"), "sized"), "a", "_n")

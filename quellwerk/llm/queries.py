@@ -26,7 +26,8 @@ def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return groups.same_post(_table(spark, sf, "anecdotes")).select("rep_id", "anecdote_id")
+    found = groups.ranked(_table(spark, sf, "anecdotes"), _table(spark, sf, "origins"))
+    return found.filter("rep_id <> anecdote_id").select("rep_id", "anecdote_id")
 
 
 def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,7 +49,9 @@ def test_garbled_columns(spark):
     assert columns.garbled_rows(df.limit(0)).count() == 0
 
 
-def test_survivors(spark):
+@pytest.mark.parametrize("slice_rows", [100_000, 1])
+def test_survivors(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(groups, "SLICE_ROWS", slice_rows)
     df = table(spark, [(1, "кот спит", "u/id/1", [" a", ""], None, "low"), (2, None, "https://h.example/id/1", ["b", "b"], 5, "high"), (3, " ", "/id/1", [], 9, None),
                        (4, "Кот спит", None, None, 7, "high"), (5, None, None, None, None, None), (6, "same", None, None, 1, "low"), (7, "same", None, None, 1, "low")])
     origins = spark.createDataFrame([("low", 10), ("high", 90), ("high", 80), ("none", None)], "origin string, trust int")
@@ -70,6 +72,17 @@ def test_lookalike_pairs(spark):
     assert alike.lookalike_pairs(df.limit(0)).count() == 0
 
 
+def test_lookalikes_of_a_hot_form(spark, monkeypatch):
+    """Equal texts meet in their class only, forms of many spellings in slices."""
+    monkeypatch.setattr(alike, "SLICE", 2)
+    monkeypatch.setattr(keys, "HOT_ROWS", 50)
+    spellings = ["Koт спит", "Коt спит", "Кот\xa0спит", "Кот с\u200bпит"]
+    df = table(spark, [(i, "Кот спит") for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(spellings)])
+    links, members = alike.lookalike_classes(df)
+    assert links.count() == 10 and members.count() == 3004
+    assert alike.lookalike_pairs(df).count() == 3000 * 4 + 6
+
+
 def retellings(n, seed):
     """Texts of 30 to 60 words, many of them edits of one another."""
     r = random.Random(seed)

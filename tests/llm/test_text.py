@@ -1,5 +1,6 @@
 """Garble repair, consistent form, letters and words, tokenizer, chunks."""
 
+import random
 import unicodedata
 
 import numpy as np
@@ -174,3 +175,25 @@ def test_garbled_words_in_a_sound_sentence():
     assert garble.repair(f"{sound * 5}у Ивана &amp; сына был кот.") == (True, f"{sound * 5}у Ивана & сына был кот.")
     for plain in ("НАТО и СССР", "вКонтакте и iPhone", "КПСС, ВЦСПС и МГУ", "ПРИВЕТ МИР"):
         assert garble.repair(f"{sound}{plain} сказал он жене.")[0] is False
+
+
+def test_tables_stay_bounded_in_one_long_run(monkeypatch):
+    """A single run of any length keeps the transducer's tables within their bounds and its ids right."""
+    monkeypatch.setattr(bpe, "MAX_STATES", 500)
+    monkeypatch.setattr(bpe, "MAX_FOLLOWS", 400)
+    with open(f"{bpe.TOKENIZERS}/{bpe.BYTE_BPE}", "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    small, r = bpe.Transducer(ranks), random.Random(3)
+    run = "".join(r.choice("абвгдеёжзabcdefgh") for _ in range(20_000)).encode()
+    got = small.encode_run(run)
+    assert len(small.states) <= 501 and len(small.follows) <= 400
+    monkeypatch.undo()
+    whole = bpe.Transducer(ranks)
+    assert got == whole.encode_run(run) and b"".join(whole.tokens[i] for i in got) == run
+
+
+def test_words_in_disguise_are_found_in_the_trie():
+    trie = form.VocabularyTrie([("кот", 5), ("йод", 2), ("cop", 1), ("сор", 9), ("Müller", 3), ("Начальник", 1)])
+    assert trie.canonical("k\u00adот") == "кот" and trie.canonical("и\u0306од") == "йод" and trie.canonical("ｃｏｐ") == "cop"
+    assert trie.canonical("Ｍu\u0308ller") == "Müller" and trie.canonical("кит") is None and trie.canonical("") is None
+    assert form.consistent("Νачальник") == "Начальник"
