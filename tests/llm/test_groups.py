@@ -76,7 +76,7 @@ def test_lookalikes_of_a_hot_form(spark, monkeypatch):
     """Equal texts meet in their class only, forms of many spellings in slices."""
     monkeypatch.setattr(alike, "SLICE", 2)
     monkeypatch.setattr(keys, "HOT_ROWS", 50)
-    spellings = ["Koт спит", "Коt спит", "Кот\xa0спит", "Кот с\u200bпит"]
+    spellings = ["K\u043e\u0442 спит", "К\u006f\u0442 спит", "Кот\xa0спит", "Кот с\u200bпит"]
     df = table(spark, [(i, "Кот спит") for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(spellings)])
     links, members = alike.lookalike_classes(df)
     assert links.count() == 10 and members.count() == 3004
