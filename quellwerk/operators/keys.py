@@ -15,7 +15,7 @@ SALTS = 64
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
-    """`rows` joined with `per_key` (one row a key, `count` = its number of rows in `rows`).
+    """`rows` joined with `per_key` (`count` = the number of rows of its key in `rows`, the same in all rows of a key).
 
     Hot keys, of which there are at most 1 / HOT_SHARE, are spread over SALTS tasks: their row of
     `per_key` is repeated and their rows get a random-free salt.  `per_key` should be materialised;
@@ -25,7 +25,7 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, how:
     bound = max(HOT_ROWS, (total or 0) * HOT_SHARE)
     if (largest or 0) < bound:
         return rows.join(per_key.drop(count), key, how)
-    hot = per_key.filter(F.col(count) >= bound).select(key, F.lit(True).alias("_hot"))
+    hot = per_key.filter(F.col(count) >= bound).select(key, F.lit(True).alias("_hot")).distinct()
     salted = (rows.join(F.broadcast(hot), key, "left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0))
               .drop("_hot"))
