@@ -37,6 +37,7 @@ def utf16_length(s: Column) -> Column:
 
 def tidy(s: Column) -> Column:
     """Post text tidied, its line breaks kept (X4).  The steps' order matters."""
+    # What is replaced, in this order.
     for pattern, to in ((r"\x{A0}", " "), (r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")):
         s = F.regexp_replace(s, pattern, to)
     return js_trim(s)
@@ -48,9 +49,18 @@ def clean_tags(tags: Column) -> Column:
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 
+def utf16_start(s: Column, n: int) -> Column:
+    """First `n` UTF-16 units of a text (O4); half of a character becomes U+FFFD."""
+    head = F.substring(s, 1, n)  # at least as many units
+    units = F.substring(F.hex(F.encode(head, "UTF-16BE")), 1, 4 * n)
+    half = units.rlike("D[89AB]..$")
+    cut = F.concat(F.decode(F.unhex(F.when(half, F.regexp_replace(units, "....$", "")).otherwise(units)), "UTF-16BE"), F.when(half, F.lit("\ufffd")).otherwise(F.lit("")))
+    return F.when(head.rlike(r"[\x{10000}-\x{10FFFF}]"), cut).otherwise(head)
+
+
 def preview(s: Column, n: int = 50) -> Column:
-    """First `n` characters on one line, as log lines show a text."""
-    return F.concat(F.replace(F.substring(s, 1, n), F.lit("\n"), F.lit(" ")), F.lit("..."))
+    """First `n` UTF-16 units on one line, as log lines show a text."""
+    return F.concat(F.replace(utf16_start(s, n), F.lit("\n"), F.lit(" ")), F.lit("..."))
 
 
 def format_bytes(n: Column) -> Column:

@@ -200,8 +200,12 @@ def next_by_pattern(url: str | None, pattern: str) -> str | None:
 
 
 def _last_segment(url: str | None) -> str:
-    u = parse(url, parse("http://_base_/"))
-    return u.path.rsplit("/", 1)[-1] if u else ""
+    """Last part of the path of a url, absolute or not."""
+    if url is None:
+        return ""
+    u = parse(url)
+    path = u.path if u else re.split(r"[?#]", url.strip().replace("\\", "/"), maxsplit=1)[0]
+    return path.rsplit("/", 1)[-1]
 
 
 def extension(url: str | None) -> str:
@@ -214,6 +218,7 @@ def safe_filename(url: str | None) -> str:
     """File name from a url (X14): other characters than letters, digits, dot, dash become one _."""
     u = parse(url)
     name = decode_component(u.path.rsplit("/", 1)[-1]) if u else ""
+    # Fixed value: the characters that stay.
     name = re.sub("_+", "_", re.sub(r"[^a-zA-Z0-9._-]", "_", name or "image"))
     return "image" if name in ("", ".", "..") else name
 

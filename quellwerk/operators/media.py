@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quellwerk.config import Config
 from quellwerk.functions import urls
+from quellwerk.functions.text import SPACE, js_trim, utf16_start
+from quellwerk.operators import sink
 
 # Extensions of picture types.
 EXTENSIONS = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/webp": "webp", "image/gif": "gif"}
@@ -24,9 +27,10 @@ def extension_of_type(content_type: Column) -> Column:
 
 def title_filename(title: Column) -> Column:
     """Title as a file name (X15): illegal signs made -, white space one space, no dots or spaces at the end, 150 units at most."""
-    t = F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), '[<>:"/\\\\|?*\\x00-\\x1F]', "-")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "[ .]+$", "")
-    t = F.trim(F.substring(t, 1, 150))
+    # Signs that file names can't have, and the longest name.
+    t = F.regexp_replace(js_trim(F.coalesce(title, F.lit(""))), '[<>:"/\\\\|?*\\x00-\\x1F]', "-")
+    t = F.regexp_replace(F.regexp_replace(t, f"{SPACE}+", " "), "[ .]+$", "")
+    t = js_trim(utf16_start(t, 150))
     return F.when(t != "", t).otherwise("post")
 
 
@@ -54,6 +58,16 @@ def unique_filenames(wanted: DataFrame, used: DataFrame, order: list[str]) -> Da
     family is settled by itself, in `order`, against the names in `used` (name).
     """
     family = lambda c: F.regexp_replace(c, r"(_\d+)*(\.[^./]*)?$", "$2")
+    taken = used.select("name").distinct().withColumn("_f", family(F.col("name")))
+    wanted = wanted.withColumn("_f", family(F.col("name")))
+    # a family of one name can only meet itself: its copies are numbered as they come, however many
+    kinds = wanted.groupBy("_f").agg((F.min("name") == F.max("name")).alias("_one")).join(taken.select("_f").distinct().withColumn("_met", F.lit(True)), "_f", "left")
+    several = kinds.filter(~F.col("_one") | F.col("_met").isNotNull()).select("_f")
+    place = F.row_number().over(Window.partitionBy("name").orderBy(*order))
+    stem, ext = F.regexp_replace("name", r"(?<=[^./])\.[^./]*$", ""), F.regexp_extract("name", r"(?<=[^./])(\.[^./]*)$", 1)
+    alone = wanted.join(several, "_f", "left_anti").drop("_f").withColumn("_n", place)
+    alone = alone.withColumn("unique_name", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))).drop("_n")
+    wanted = wanted.join(several, "_f", "left_semi").drop("_f")
     schema = T.StructType([*wanted.schema, T.StructField("unique_name", T.StringType())])
     columns = wanted.columns
 
@@ -70,8 +84,9 @@ def unique_filenames(wanted: DataFrame, used: DataFrame, order: list[str]) -> Da
             out.append(free)
         return rows.sort_values(order).assign(unique_name=out)[[*columns, "unique_name"]]
 
-    return (wanted.groupBy(family(F.col("name")).alias("_f")).cogroup(used.select("name").distinct().groupBy(family(F.col("name")).alias("_f")))
-            .applyInPandas(settle, schema))
+    met = (wanted.groupBy(family(F.col("name")).alias("_f")).cogroup(taken.select("name").groupBy(family(F.col("name")).alias("_f")))
+           .applyInPandas(settle, schema))
+    return alone.select(*met.columns).union(met)
 
 
 def outcomes(downloads: DataFrame, records: DataFrame, config: Config) -> DataFrame:
@@ -122,3 +137,20 @@ def image_records(results: DataFrame, facts: DataFrame) -> DataFrame:
 def images_per_second(downloaded: Column, elapsed_ms: Column) -> Column:
     """Rate of a run (A7); less than a second counts as one."""
     return downloaded / F.greatest(F.lit(1.0), elapsed_ms / 1000)
+
+
+def record_keys(records: DataFrame) -> DataFrame:
+    """(kind, value): the urls, digests and file names that stored image records take (S9); null and empty ones are skipped."""
+    keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("url", "normalizedUrl"), ("hash", "sha256"), ("filename", "filename"))))
+    return records.select(F.inline(keys)).filter("value <> ''").distinct()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stored image records of a JSON file (S9); a missing or corrupt file has none."""
+    schema = "url string, normalizedUrl string, filename string, sha256 string, bytes long, downloadedAt timestamp"
+    if not isinstance(sink.read_json(path, []), list):
+        return spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(str(path))
+    except AnalysisException:  # no such file
+        return spark.createDataFrame([], schema)

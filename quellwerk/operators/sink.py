@@ -47,12 +47,12 @@ def rotated(batches: DataFrame, order: list[str], size: str, limit: int = FILE_M
     return files.select(*[F.col(f"b.{c}").alias(c) for c in order], F.col("b._size").alias(size), F.col("file_no").cast("long").alias("file_no"))
 
 
-def entries(posts: DataFrame, tag: Column, default_tags: list[str] = ()) -> DataFrame:
+def entries(posts: DataFrame, tag: Column, default_tags: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """Stored form of posts (K3): text trimmed, tags cleaned, no url where it is empty; blank texts are dropped."""
     tags = clean_tags(F.when(tag.isNotNull(), F.array(tag)).otherwise(F.array(*map(F.lit, default_tags)).cast("array<string>")))
     rows = posts.withColumn("text", js_trim("text")).filter("text <> ''")
     url = F.when(F.col("post_url") != "", F.col("post_url"))
-    return rows.select(F.lit("").alias("title"), "text", tags.alias("tags"), F.current_timestamp().alias("addedAt"), url.alias("url"))
+    return rows.select(*keep, F.lit("").alias("title"), "text", tags.alias("tags"), F.current_timestamp().alias("addedAt"), url.alias("url"))
 
 
 def write_json(path: str | Path, data) -> None:

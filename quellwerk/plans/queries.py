@@ -224,8 +224,8 @@ def next_file_index(spark, sf):
 @query("SELECT count(DISTINCT key) AS known_posts, (SELECT count(*) FROM anecdotes) AS anecdotes FROM (SELECT unnest(posts) AS key FROM visited_posts) WHERE key IS NOT NULL")
 def set_sizes(spark, sf):
     """A3, A9."""
-    keys = known_keys(spark, sf).agg(F.count("*").alias("known_posts")).first()[0]
-    return table(spark, sf, "anecdotes").agg(F.lit(keys).cast("long").alias("known_posts"), F.count("*").alias("anecdotes"))
+    keys = known_keys(spark, sf).agg(F.count("*").alias("known_posts"))
+    return keys.crossJoin(table(spark, sf, "anecdotes").agg(F.count("*").alias("anecdotes")))  # one row each
 
 
 @query("""SELECT doc_id, line::BIGINT AS line, regexp_extract(l, '^([0-9T:.Z-]+) \\[([A-Z]+)\\] ', 1) AS at, regexp_extract(l, '^([0-9T:.Z-]+) \\[([A-Z]+)\\] ', 2) AS level,
@@ -242,12 +242,6 @@ def log_lines(spark, sf):
         F.regexp_replace("l", head, "").alias("message"))
 
 
-@query("SELECT doc_id, left(text, 50) AS start, replace(left(text, 50), chr(10), ' ') || '...' AS preview FROM documents")
-def log_previews(spark, sf):
-    """X23, O4."""
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 50).alias("start"), text.preview(F.col("text")).alias("preview"))
-
-
 @query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) END AS size,
  CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration
  FROM (SELECT doc_id, n_chars, n_chars * 977 // 1000 AS s FROM documents WHERE n_chars IS NOT NULL)""")
@@ -266,7 +260,13 @@ def post_boxes(spark, sf):
     return extract.boxes_of(d, CONFIG, "text", ["doc_id"]).filter("has_text").select("doc_id", "box_ord", "id")
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, tag_url, unnest(regexp_extract_all(text, '(?s)<div class="topicbox" data-id="[^"]*"><div class="text">.*?</div>', 0)) AS box,
+  generate_subscripts(regexp_extract_all(text, '(?s)<div class="topicbox" data-id="[^"]*"><div class="text">.*?</div>', 0), 1) AS i FROM documents WHERE kind = 'markup' AND text IS NOT NULL),
+ t AS (SELECT doc_id, (i - 1)::BIGINT AS box_ord, {_trim("regexp_extract(box, 'data-id=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS id,
+  coalesce(regexp_extract(tag_url, '^(https?://[^/?#]*)', 1), 'https://example.org') AS host,
+  {_tidy_sql("html_unescape(regexp_replace(regexp_replace(regexp_extract(box, '(?s)<div class=" + chr(34) + "text" + chr(34) + ">(.*)</div>$', 1), '<br>', chr(10), 'g'), '<[^>]*>', '', 'g'))")} AS post FROM b)
+ SELECT doc_id, box_ord, id, post, CASE WHEN id <> '' THEN lower(host) || '/id/' || id || '/' ELSE '' END AS post_url FROM t WHERE length(post) >= 15
+ QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN id <> '' THEN 'id:' || id ELSE 'txt:' || left(post, 120) END ORDER BY box_ord) = 1""".replace("html_unescape", ""))
 def posts(spark, sf):
     """G2, X7, D-2: text posts of listing markup."""
     d = table(spark, sf, "documents").filter("kind = 'markup' and text is not null").select("doc_id", "tag_url", "text")
@@ -282,16 +282,16 @@ def completed_tags(spark, sf):
     return crawl.completed(pages.withColumn("reached_end", outcome["reached_end"]).withColumn("is_loop", F.lit(False)), "tag")
 
 
-MEDIA_URLS = [("https://h.example/q-1024x768.webp?v=2", "https://h.example/q.webp?v=2", "webp", "q-1024x768.webp", "768"), ("https://h.example/a/b_3.jpg", "https://h.example/a/b_3.jpg", "jpg", "b_3.jpg", "3"),
-              ("https://h.example/new1.PNG#x", "https://h.example/new1.PNG#x", "png", "new1.PNG", "1"), ("https://h.example/d/", "https://h.example/d/", "", "image", None),
-              ("https://h.example/.hidden", "https://h.example/.hidden", "", ".hidden", None), ("https://h.example/%D0%B0 b.gif", "https://h.example/%D0%B0 b.gif", "gif", "_b.gif", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in MEDIA_URLS) + ") AS t(url, upgraded, extension, filename, number)")
+@query("""SELECT anecdote_id, regexp_replace(url, '-[0-9]{2,5}x[0-9]{2,5}(\\.[a-zA-Z]{3,4})(\\?.*)?$', '\\1\\2') AS upgraded,
+ CASE WHEN regexp_matches(seg, '[^.].*\\.[^.]*$') THEN lower(regexp_extract(seg, '\\.([^.]*)$', 1)) ELSE '' END AS extension,
+ CASE WHEN name IN ('', '.', '..') THEN 'image' ELSE name END AS filename, nullif(regexp_extract(regexp_replace(seg, '\\.[A-Za-z0-9]+$', ''), '([0-9]+)$', 1), '') AS number
+ FROM (SELECT *, regexp_replace(regexp_replace(coalesce(nullif(url_decode(seg), ''), 'image'), '[^a-zA-Z0-9._-]', '_', 'g'), '_+', '_', 'g') AS name FROM (
+ SELECT anecdote_id, url, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', ''), '([^/]*)$', 1) AS seg FROM (
+  SELECT anecdote_id, regexp_replace(url, '/([?#].*)?$', '-640x480.jpg') AS url FROM anecdotes WHERE url LIKE 'http%')))""")
 def media_urls(spark, sf):
-    """X12, X14, X16, X18, on written cases."""
-    rows = spark.createDataFrame([(r[0],) for r in MEDIA_URLS], "url string")
-    return rows.select("url", urls.upgraded(F.col("url")).alias("upgraded"), urls.extension_col("url").alias("extension"),
+    """Parts of urls, those of anecdotes made pictures where they end in a folder."""
+    rows = table(spark, sf, "anecdotes").filter("url like 'http%'").select("anecdote_id", F.regexp_replace("url", r"/([?#].*)?$", "-640x480.jpg").alias("url"))
+    return rows.select("anecdote_id", urls.upgraded(F.col("url")).alias("upgraded"), urls.extension_col("url").alias("extension"),
                        urls.safe_filename_col("url").alias("filename"), urls.trailing_number_col("url").alias("number"))
 
 
