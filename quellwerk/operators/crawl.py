@@ -105,13 +105,13 @@ def latest_pages(visits: DataFrame) -> DataFrame:
 
 def crawl(config: Config, tags: list[tuple[str, str]], fetch_page: Callable[[str], tuple[int | None, str | None]],
           posts_of: Callable[[str, str], tuple[list[dict], str | None]], known: set[str], complete: set[str], key_of: Callable[[dict], str],
-          emit: Callable[[str, str, list[dict]], None]) -> dict[str, dict]:
+          emit: Callable[[str, str, list[dict]], None], stop: Callable[[], bool] = lambda: False) -> dict[str, dict]:
     """Visits the pages of `tags` (url, name) one after another; the visited pages by normalised url.
 
     What a later tag visits depends on what earlier ones have made known, so this loop over pages
     is the driver's; each page's posts go to `emit` as one batch before their keys count as known
     (a crash repeats a batch, it never loses one).  `known` and `complete` are updated, unless
-    the run is dry.
+    the run is dry.  `stop` is asked before each page; pages left out then leave their tag incomplete.
     """
     visited: dict[str, dict] = {}
     dry = set() if config.dry_run else None
@@ -119,7 +119,7 @@ def crawl(config: Config, tags: list[tuple[str, str]], fetch_page: Callable[[str
         tag = urls.normalize_url(url)
         early = config.mode != "full" and tag in complete
         page, seen, idle, done = url, set(), 0, False
-        while page and not (config.max_pages and len(seen) >= config.max_pages):
+        while page and not stop() and not (config.max_pages and len(seen) >= config.max_pages):
             key = urls.normalize_url(page)
             if key in seen:
                 done = True

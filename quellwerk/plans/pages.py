@@ -303,6 +303,6 @@ def streamed_posts(spark, sf):
 @query(f"SELECT 'posts' AS name, count(*) AS n FROM {KNOWN} UNION ALL SELECT 'pages', count(*) FROM ({LATEST}) UNION ALL SELECT 'anecdotes', count(*) FROM anecdotes")
 def state_sizes(spark, sf):
     """Sizes of the known sets."""
-    sets = (("posts", known_keys(spark, sf)), ("pages", crawl.latest_pages(table(spark, sf, "visited_pages"))), ("anecdotes", table(spark, sf, "anecdotes")))
+    sets = (("posts", known_keys(spark, sf).distinct()), ("pages", crawl.latest_pages(table(spark, sf, "visited_pages"))), ("anecdotes", table(spark, sf, "anecdotes")))
     rows = [x.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, x in sets]
     return rows[0].union(rows[1]).union(rows[2])

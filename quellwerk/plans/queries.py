@@ -57,7 +57,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def known_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "visited_posts").select(F.explode("posts").alias("key")).filter("key is not null").distinct()
+    """Keys of the saved states, with their repeats."""
+    return table(spark, sf, "visited_posts").select(F.explode("posts").alias("key")).filter("key is not null")
 
 
 @query(f"SELECT in_id, {KEY} AS key FROM incoming_posts")
@@ -81,14 +82,14 @@ def known_anti_join(spark, sf):
 def layered_dedup(spark, sf):
     """D-3a, D-3b, J1, J2."""
     stored = table(spark, sf, "anecdotes").filter("text is not null").select(text.content_hash(F.col("text")).alias("hash"))
-    return dedup.layered_dedup(table(spark, sf, "incoming_posts"), known_keys(spark, sf), stored, ["in_id"]).select("in_id", "key", "hash")
+    return dedup.layered_dedup(table(spark, sf, "incoming_posts"), known_keys(spark, sf), stored, ["in_id"], keep=["in_id"])
 
 
 @query(f"""SELECT anecdote_id, {_hash('text')} AS hash FROM anecdotes WHERE {_trim('text')} <> ''
  QUALIFY row_number() OVER (PARTITION BY {_hash('text')} ORDER BY anecdote_id) = 1""")
 def content_dedup(spark, sf):
     """D-3b, S7, F6: stored anecdotes, the first of each content hash."""
-    return sink.stored(table(spark, sf, "anecdotes"), ["anecdote_id"]).select("anecdote_id", text.content_hash(F.col("text")).alias("hash"))
+    return sink.stored(table(spark, sf, "anecdotes"), ["anecdote_id"], ["anecdote_id"])
 
 
 @query("SELECT doc_id, (length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS units FROM documents WHERE length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) >= 15")
@@ -224,7 +225,7 @@ def next_file_index(spark, sf):
 @query("SELECT count(DISTINCT key) AS known_posts, (SELECT count(*) FROM anecdotes) AS anecdotes FROM (SELECT unnest(posts) AS key FROM visited_posts) WHERE key IS NOT NULL")
 def set_sizes(spark, sf):
     """A3, A9."""
-    keys = known_keys(spark, sf).agg(F.count("*").alias("known_posts"))
+    keys = known_keys(spark, sf).agg(F.count_distinct("key").alias("known_posts"))
     return keys.crossJoin(table(spark, sf, "anecdotes").agg(F.count("*").alias("anecdotes")))  # one row each
 
 

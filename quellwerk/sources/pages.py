@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,7 +17,7 @@ from quellwerk.config import Config
 from quellwerk.functions.urls import parse
 
 PAGE = T.StructType([T.StructField("url", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("content_type", T.StringType()),
-                     T.StructField("status", T.IntegerType())])
+                     T.StructField("status", T.IntegerType()), T.StructField("retries", T.IntegerType())])
 _CHARSET = r"""(?i)charset=["']?([\w-]+)"""
 
 
@@ -82,11 +82,11 @@ class RateLimit:
         self.last = self.clock()
 
 
-def http_get(url: str, config: Config) -> tuple[int, bytes, str | None]:
+def http_get(url: str, config: Config, referer: str | None = None) -> tuple[int, bytes, str | None]:
     import urllib.error
     import urllib.request
 
-    request = urllib.request.Request(url, headers={"User-Agent": config.user_agent})
+    request = urllib.request.Request(url, headers={"User-Agent": config.user_agent} | ({"Referer": referer} if referer else {}))
     try:
         with urllib.request.urlopen(request, timeout=config.timeout_ms / 1000) as r:
             return r.status, r.read(), r.headers.get("content-type")
@@ -94,6 +94,42 @@ def http_get(url: str, config: Config) -> tuple[int, bytes, str | None]:
         raise FetchError(f"HTTP {e.code} for {url}", e.code) from e
 
 
+def attempts(call: Callable, config: Config, limit: RateLimit) -> tuple[int | None, bytes | None, str | None, str | None, int]:
+    """(status, content, content type, error, retries) of one request, tried again and spaced as the settings say.
+
+    What can't be had is a row with an error, not a failed job.
+    """
+    tried: list[bool] = []
+
+    def spaced():
+        limit.wait()
+        return call()
+
+    try:
+        status, content, kind = with_retry(spaced, config.retries, config.retry_base_ms, lambda error, attempt, again: tried.append(again))
+        return status, content, kind, None, sum(tried)
+    except Exception as e:  # noqa: BLE001
+        return getattr(e, "status", None), None, None, str(e) or type(e).__name__, sum(tried)
+
+
+def requested(requests: DataFrame, config: Config, get: Callable) -> DataFrame:
+    """`requests` (ord, url, referer) with content, error and retries; requests to one host go one after another."""
+    schema = T.StructType([*requests.schema, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType()), T.StructField("retries", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limits: dict[str, RateLimit] = {}
+        for rows in batches:
+            out = []
+            for ord, url, referer in rows[["ord", "url", "referer"]].itertuples(index=False):
+                limit = limits.setdefault(p.origin if (p := parse(url)) else "", RateLimit(config.delay_ms))
+                _, content, _, error, retries = attempts(lambda url=url, referer=referer: get(url, config, referer), config, limit)
+                out.append((ord, url, referer, content, error, retries))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    host = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    return requests.select("ord", "url", "referer").repartition(host).mapInPandas(run, schema)
+
+
 class _Host(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
@@ -112,15 +148,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Host) -> Iterator[tuple]:
         limit = RateLimit(self.config.delay_ms)
         for url in partition.urls:
-            def attempt(url=url):
-                limit.wait()
-                return self.get(url, self.config)
-
-            try:
-                status, content, kind = with_retry(attempt, self.config.retries, self.config.retry_base_ms)
-                yield url, content, kind, status
-            except Exception as e:  # noqa: BLE001 - a page that can't be had is a row, not a failed job
-                yield url, None, None, getattr(e, "status", None)
+            status, content, kind, _, retries = attempts(lambda url=url: self.get(url, self.config), self.config, limit)
+            yield url, content, kind, status, retries
 
 
 def page_source(urls: list[str], config: Config, get: Callable = http_get) -> type[DataSource]:
@@ -141,6 +170,6 @@ def page_source(urls: list[str], config: Config, get: Callable = http_get) -> ty
 
 
 def fetch(spark: SparkSession, urls: list[str], config: Config, get: Callable = http_get):
-    """(url, content, content_type, status) of `urls`; failed requests have null content, and a null status if there was no answer."""
+    """(url, content, content_type, status, retries) of `urls`; failed requests have null content, and a null status if there was no answer."""
     spark.dataSource.register(page_source(urls, config, get))
     return spark.read.format("quellwerk_pages").load()

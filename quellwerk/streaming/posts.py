@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quellwerk.operators.dedup import layered_dedup
+from quellwerk.operators.dedup import layered_dedup, new_posts
 
 
 class PostStream:
@@ -39,13 +39,15 @@ class PostStream:
 
     def write(self, batch: DataFrame, number: int) -> None:
         """One micro-batch (`foreachBatch`)."""
-        known, stored = self.keys(number), self.hashes(number)
-        from quellwerk.operators.dedup import new_posts
-
-        fresh = layered_dedup(batch, known, stored, self.order)
-        for name, rows in (("posts", fresh), ("hashes", fresh.select("hash")),
-                           ("keys", new_posts(batch, known, self.order).filter("is_new").select("key"))):
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        batch = batch.persist()  # read three times; what is lost with an executor is read again
+        try:
+            known, stored = self.keys(number), self.hashes(number)
+            fresh = layered_dedup(batch, known, stored, self.order)
+            for name, rows in (("posts", fresh), ("hashes", fresh.select("hash")),
+                               ("keys", new_posts(batch, known, self.order).filter("is_new").select("key"))):
+                rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
 
     def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Drains what the source has, then ends (T4); a later call goes on from the checkpoint."""

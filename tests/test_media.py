@@ -43,3 +43,37 @@ def test_outcomes(spark):
     assert set(r.status for r in media.outcomes(downloads.filter("ord = 1"), records, replace(config, dry_run=True)).collect()) == {"dry-run"}
     rate = spark.range(1).select(media.images_per_second(F.lit(6), F.lit(3000)), media.images_per_second(F.lit(6), F.lit(10))).first()
     assert tuple(rate) == (2.0, 6.0)
+
+
+def test_download(spark):
+    from quellwerk.operators.download import download
+
+    asked = {"https://h.example/a.png": PNG, "https://h.example/b.png": PNG, "https://h.example/c.jpg": JPEG, "https://h.example/e.gif": b""}
+
+    def get(url, config, referer):
+        if url not in asked:
+            raise ValueError("gone")
+        return 200, asked[url] + (referer or "").encode(), "image/png"
+
+    rows = [(1, "https://h.example/a.png", "r", "T", 1), (2, "https://h.example/b.png", "r", "T", 1), (3, "https://h.example/c.jpg", None, "T", None), (4, "https://h.example/d.png", "r", None, 1),
+            (5, "https://h.example/e.gif", None, None, 2), (6, "https://h.example/old.png", "r", None, 1), (7, None, None, None, None)]
+    wanted = spark.createDataFrame(rows, "ord long, url string, referer string, title string, ordinal int")
+    records = spark.createDataFrame([("https://h.example/old.png", None, "T_0.jpg")], "normalizedUrl string, sha256 string, filename string").withColumnRenamed("normalizedUrl", "normalized_url")
+    config = Config(delay_ms=0, retries=1, retry_base_ms=0, min_bytes=len(JPEG) + 1)
+    results, new, contents = download(spark, wanted, records, config, get)
+    got = {r.ord: (r.status, r.reason, r.retries) for r in results.collect()}
+    assert got == {1: ("downloaded", None, 0), 2: ("duplicate", "hash", 0), 3: ("skipped", "min-bytes", 0), 4: ("failed", "gone", 1), 5: ("failed", "empty body", 0), 6: ("duplicate", "url", 0)}
+    assert [(r.filename, bytes(r.content)) for r in contents.collect()] == [("T_1.png", PNG + b"r")] and new.count() == 1
+    assert {r.filename for r in results.collect()} == {"T_1.png", "T_1_2.png", "T_0_2.jpg", "d.png", "e.gif", "old.png"}
+    dry, none, _ = download(spark, wanted, records, replace(config, dry_run=True), get)
+    assert {r.status for r in dry.collect()} == {"dry-run", "duplicate"} and none.count() == 0
+
+
+def test_stored_records(spark, tmp_path):
+    f = tmp_path / "images.json"
+    assert media.read_records(spark, str(f)).count() == 0
+    f.write_text('[{"url": "u", "normalizedUrl": "n", "filename": "", "sha256": null, "bytes": 3}, {"url": "v", "normalizedUrl": "n", "filename": "f", "sha256": "s", "bytes": 3}]')
+    keys = {tuple(r) for r in media.record_keys(media.read_records(spark, str(f))).collect()}
+    assert keys == {("url", "n"), ("filename", "f"), ("hash", "s")}
+    f.write_text("{")
+    assert media.read_records(spark, str(f)).count() == 0

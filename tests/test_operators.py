@@ -144,16 +144,16 @@ def test_crawl_resumes_and_stops():
 
 
 def test_rotation(spark, tmp_path):
-    for sizes in ([300, 200, 1, 600], [600], [1] * 5, []):
-        df = spark.createDataFrame([(sizes,)], "s array<int>")
-        files = df.select(sink.rotation(F.col("s"))).first()[0]
-        out, n, f = [], 0, 0
-        for s in sizes:
-            if n and n + s > 500:
+    for active, sizes in ((0, [300, 200, 1, 600]), (0, [600]), (499, [1, 0, 1, 700, 0, 1]), (0, [7] * 400), (0, [])):
+        df = spark.createDataFrame([(i, k) for i, k in enumerate(sizes)], "o int, size int")
+        got = [r.file_no for r in sink.rotated(df, ["o"], "size", active=active).orderBy("o").collect()]
+        out, n, f = [], active, 0
+        for k in sizes:
+            if n and n + k > 500:
                 f, n = f + 1, 0
-            n += s
+            n += k
             out.append(f)
-        assert files == out
+        assert got == out
     folder = sink.AnecdoteFiles(tmp_path, 5)
     for batch in ([1, 2, 3], [4, 5], [6], [7] * 7):
         folder.append([{"text": str(x), "addedAt": "2024-01-02T03:04:05Z", "tags": ["t"]} for x in batch])
