@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quellwerk.llm import form as M
-from quellwerk.llm.columns import _CHARS, ALNUM, LOWER, irregular, map_batches, row_sums, struct_of, units
+from quellwerk.llm.columns import _CHARS, ALNUM, LOWER, _mix, _powers, irregular, map_batches, row_sums, struct_of, units
+from quellwerk.session import written
 
 #: Labelled records the index is fitted on at most, chosen by the hash of their id.
 SAMPLE = 20_000
 NEIGHBOURS, NEAR, BLOCK = 9, 0.5, 64
 THRESHOLD = 0.5
+#: A segment of an abusive record counts as abusive from this rate of abusive records among those of its most telling word.
+TELLING = 0.55
 
 # Signs written for letters, in Cyrillic and in Latin words; letters of one script
 # that stand for another's in words that mix scripts anyway.
@@ -113,6 +116,34 @@ def segments(text: str | None, tags: list[str] | None, odd: bool = True) -> list
     return [s for s in out if s]
 
 
+_ENDS, _QUOTES, _BLANK = (np.isin(np.arange(0x10000), [ord(c) for c in x]) for x in (".!?…", "\"'»”“’)]", " \t\n\r"))
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, segment, hash) of each word of texts that aren't disguised: what `segments` finds, as arrays for a whole batch."""
+    codes, offsets = units(texts)
+    alpha = ALPHA[codes]
+    start = alpha.copy()
+    start[1:] &= ~alpha[:-1]
+    firsts = offsets[:-1][np.diff(offsets) > 0]
+    start[firsts] |= alpha[firsts]
+    starts = np.flatnonzero(start)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    # a segment ends at a new line, and at white space after a stop and what quotes follow it
+    solid = np.maximum.accumulate(np.where(_QUOTES[codes], -1, np.arange(len(codes))))
+    cut = codes == 10
+    before = solid[:-1]
+    cut[1:] |= _BLANK[codes[1:]] & (before >= 0) & _ENDS[codes[before]]
+    cut[firsts] = True
+    picked = np.flatnonzero(alpha)
+    word = np.cumsum(start[picked]) - 1
+    within = picked - starts[word]
+    parts = (LOWER[codes[picked]].astype(np.uint64) + np.uint64(1)) * _powers(int(within.max()) + 1)[within]
+    hashes = _mix(np.add.reduceat(parts, np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))))
+    return np.searchsorted(offsets, starts, "right") - 1, np.cumsum(cut)[starts], hashes
+
+
 def _segments_of(b: pa.RecordBatch, text: int, tags: int) -> Iterator[list[tuple[str, ...]]]:
     for t, g, o in zip(b.column(text).to_pylist(), b.column(tags).to_pylist(), disguised(b.column(text)), strict=True):
         yield segments(t, g, bool(o))
@@ -121,7 +152,7 @@ def _segments_of(b: pa.RecordBatch, text: int, tags: int) -> Iterator[list[tuple
 class Examples:
     """Labelled segments in a block-max inverted index."""
 
-    def __init__(self, records: list[tuple[bool, list[tuple[str, ...]]]]):
+    def __init__(self, records: list[tuple[bool, list[tuple[str, ...]]]], telling: float = TELLING):
         """`records`: (abusive?, segments).
 
         A label belongs to the record, not to each of its segments.  A segment of an abusive
@@ -138,12 +169,18 @@ class Examples:
         self.segs: dict[tuple[str, ...], list[float]] = {}
         for abusive, segs in records:
             for s in map(tuple, map(sorted, segs)):
-                if not abusive or max((rate.get(w, 0.0) for w in s), default=0.0) >= 0.55:
+                if not abusive or max((rate.get(w, 0.0) for w in s), default=0.0) >= telling:
                     self.segs.setdefault(s, [0, 0])[abusive] += 1
         self.telling = {s: max((rate.get(w, 0.0) for w in s), default=0.0) for s in self.segs}
         # words that one record alone has say nothing
         words = sorted({w for s in self.segs for w in s if pos[w] + neg[w] > 1})
         self.words = {w: i for i, w in enumerate(words)}
+        plain = pa.array([w for w in words if _WORDS.fullmatch(w)], pa.string())
+        hashes = np.zeros(0, np.uint64)
+        if len(plain):
+            hashes = _words_of(plain)[2]
+        o = np.argsort(hashes)
+        self.hashes, self.of_hash = hashes[o], np.array([self.words[w] for w in plain.to_pylist()], np.int64)[o]
         abusive = {w for s, (_, y) in self.segs.items() if y for w in s if w in self.words}
         self.masked: dict[int, list[str]] = {}
         for w in sorted(abusive):
@@ -182,8 +219,6 @@ class Examples:
         bad = self.votes[self.row, 1] > 0 if len(rows) else np.zeros(0, bool)
         np.maximum.at(self.top, self.term[bad], self.weight[bad])
         self.known: dict[tuple[int, ...], tuple[float, tuple | None]] = {}
-        # squared and bounding weights of a word, for the bound in plain numbers
-        self.bound = {w: (float(self.idf[i] ** 2), float(self.idf[i] * self.top[i])) for w, i in self.words.items()}
         return self
 
     def _ids(self, seg: Iterable[str]) -> list[int]:
@@ -226,21 +261,56 @@ class Examples:
             self.names = list(self.words)
         return [self.names[t] for t in self.term[self.start[example]:self.start[example + 1]]]
 
+    def told(self, texts: pa.Array, tags: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, segment, word) of all known words of a batch, ordered, each once a segment."""
+        odd = disguised(texts)
+        plain = np.flatnonzero(~odd)
+        row, seg, hashes = _words_of(texts.take(pa.array(plain)))
+        k = np.searchsorted(self.hashes, hashes)
+        k[k == len(self.hashes)] = 0
+        hit = np.flatnonzero(self.hashes[k] == hashes) if len(self.hashes) else np.zeros(0, np.int64)
+        rows, segs, ids = [plain[row[hit]]], [seg[hit]], [self.of_hash[k[hit]] if len(hit) else np.zeros(0, np.int64)]
+        n = int(seg[-1]) + 1 if len(seg) else 0
+        more: list[tuple[int, int, int]] = []
+        where = np.flatnonzero(odd)
+        slow = [(i, segments(t, None, True)) for i, t in zip(where, texts.take(pa.array(where)).to_pylist(), strict=True)]
+        known: dict[str, list[int]] = {}
+        for i, g in enumerate(tags.to_pylist()):
+            for t in g or ():
+                if t:
+                    found = known.get(t)
+                    if found is None:
+                        found = known[t] = self._ids(tag_tokens(t))
+                    if found:
+                        more += [(i, n, x) for x in found]
+                        n += 1
+        for i, segs_ in slow:
+            for s in segs_:
+                if found := self._ids(s):
+                    more += [(i, n, x) for x in found]
+                    n += 1
+        if more:
+            extra = np.array(more, np.int64)
+            rows, segs, ids = [*rows, extra[:, 0]], [*segs, extra[:, 1]], [*ids, extra[:, 2]]
+        row, seg, word = map(np.concatenate, (rows, segs, ids))
+        o = np.lexsort((word, seg, row))
+        row, seg, word = row[o], seg[o], word[o]
+        keep = np.ones(len(row), bool)
+        keep[1:] = (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]) | (word[1:] != word[:-1])
+        return row[keep], seg[keep], word[keep]
+
     def score(self, seg: tuple[str, ...]) -> tuple[float, tuple[int, float] | None]:
         """(score in [0, 1], (nearest abusive example, its cosine)) of a segment; 0 without a near abusive example."""
-        norm = most = 0.0
-        hidden = False
-        for w in seg:
-            if (x := self.bound.get(w)) is not None:
-                norm += x[0]
-                most += x[1]
-            elif "*" in w:
-                hidden = True
-        if not hidden and most < NEAR * math.sqrt(norm) or not (norm or hidden):
-            return 0.0, None
         ids = self._ids(seg)
-        if not ids:
-            return 0.0, None
+        return self.score_of(ids) if ids and self.may_score(np.array(ids), np.zeros(1, np.int64))[0] else (0.0, None)
+
+    def may_score(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which segments (ranges of `words`) can come near an abusive example at all."""
+        idf = self.idf[words]
+        norm, most = np.add.reduceat(idf * idf, starts), np.add.reduceat(idf * self.top[words], starts)
+        return most >= NEAR * np.sqrt(norm) * (1 - 1e-12)
+
+    def score_of(self, ids: list[int]) -> tuple[float, tuple[int, float] | None]:
         key = tuple(ids)
         known = self.known.get(key)
         if known is None:
@@ -263,55 +333,95 @@ def labelled(records: DataFrame, labels: DataFrame, id: str) -> DataFrame:
     return records.select(id, "text", "tags").join(F.broadcast(votes), id)
 
 
-def fit(records: DataFrame, labels: DataFrame, id: str = "anecdote_id") -> Examples:
-    """Index of the labelled records (at most SAMPLE), weighted by counts over all of `records`."""
-    chosen = labelled(records, labels, id)
+def examples_of(records: DataFrame, labels: DataFrame, id: str = "anecdote_id", telling: float = TELLING) -> Examples:
+    """Index of the labelled records (at most SAMPLE), not weighted yet."""
     schema = T.StructType([T.StructField("abusive", T.BooleanType()), T.StructField("segments", T.ArrayType(T.StringType()))])
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         segs = [[" ".join(s) for s in x] for x in _segments_of(b, 1, 2)]
         return pa.RecordBatch.from_arrays([b.column(3), pa.array(segs, pa.list_(pa.string()))], names=schema.names)
 
-    rows = map_batches(chosen, schema, cut).toPandas()
-    examples = Examples([(bool(y), [tuple(s.split(" ")) for s in segs]) for y, segs in zip(rows["abusive"], rows["segments"], strict=True)])
-    shared = records.sparkSession.sparkContext.broadcast(frozenset(examples.words))  # words of the sample
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = shared.value, Counter()
-        for b in batches:
-            for t, g, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), disguised(b.column(0)), strict=True):
-                own = set(_WORDS.findall(t.lower())) if t and not o else {w for s in segments(t, None, True) for w in s}
-                found.update(own.union(*(tag_tokens(x) for x in g or () if x)) & words)
-            found[""] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=schema.names)
+    rows = map_batches(labelled(records, labels, id), schema, cut).toPandas()
+    return Examples([(bool(y), [tuple(s.split(" ")) for s in segs]) for y, segs in zip(rows["abusive"], rows["segments"], strict=True)], telling)
 
-    counted = records.select("text", "tags").mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    counts = dict(zip(counted["word"], counted["n"], strict=True))
-    return examples.fit(counts, int(counts.pop("", 0)))
 
+def _told(records: DataFrame, examples: Examples, keep: list[str]) -> DataFrame:
+    """The known words of each record by segments, from one pass over the texts: (keep, _words, _segments, _counts).
 
-def scored(records: DataFrame, labels: DataFrame, id: str = "anecdote_id", keep: list[str] = ()) -> DataFrame:
+    The last row of each task has `_counts`: in how many of its records each word is found (in
+    `_segments`, by word), and the number of records as word -1.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(examples)  # bounded by SAMPLE records
+    df = records.select("text", "tags", *keep)
+    numbers = T.ArrayType(T.LongType(), False)
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("_words", numbers), T.StructField("_segments", numbers),
+                           T.StructField("_counts", T.BooleanType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, kinds = shared.value, None
+        found, total = np.zeros(len(index.words), np.int64), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, seg, word = index.told(b.column(0), b.column(1))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b.num_rows)))).astype(np.int32)
+            once = np.unique(row * len(index.words) + word)
+            found += np.bincount(once % max(len(index.words), 1), minlength=len(index.words))
+            total += b.num_rows
+            kinds = [c.type for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (word, seg)),
+                                              pa.array(np.zeros(b.num_rows, bool))], names=schema.names)
+        if kinds is not None:
+            has = np.flatnonzero(found)
+            words, counts = [-1, *has.tolist()], [total, *found[has].tolist()]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.array([words], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+                                              pa.array([True])], names=schema.names)
+
+    return written(df.mapInArrow(run, schema), "told")
+
+
+def _weighted(examples: Examples, told: DataFrame) -> Examples:
+    """`examples` weighted by the counts of all records."""
+    pairs = told.filter("_counts").select(F.explode(F.arrays_zip("_words", "_segments")).alias("p"))
+    counted = pairs.groupBy("p._words").agg(F.sum("p._segments").alias("n")).toPandas()  # a row a word of the sample
+    counts = dict(zip(counted["_words"], counted["n"], strict=True))
+    total = int(counts.pop(-1, 0))
+    return examples.fit({w: int(counts.get(i, 0)) for w, i in examples.words.items()}, total)
+
+
+def scored(records: DataFrame, labels: DataFrame, id: str = "anecdote_id", keep: list[str] = (), telling: float = TELLING) -> DataFrame:
     """(id, keep, score, evidence, cosine): score of each record in [0, 1] (problem 3).
 
     `evidence` is the labelled segment nearest to the record's worst one, null where no segment
     is near an abusive example; then the score is 0.  Null and empty texts and tags add nothing.
-    Garbled texts are repaired first.  Without any usable label every score is 0.
+    Garbled texts are repaired first.  Without any usable label every score is 0.  The texts are
+    read once: their known words are kept as numbers, and counting and scoring read those.
     """
-    examples = fit(records, labels, id)
+    examples = examples_of(records, labels, id, telling)
+    told = _told(records, examples, [id, *keep])
+    examples = _weighted(examples, told)
     texts = [" ".join(examples.term_text(e)) for e in range(len(examples.votes))]
     shared = records.sparkSession.sparkContext.broadcast((examples, texts))  # bounded by SAMPLE records
-    df = records.select(id, "text", "tags", *keep)
+    df = told.filter("not _counts").drop("_counts")
     schema = struct_of(df, [id, *keep], score=T.DoubleType(), evidence=T.StringType(), cosine=T.DoubleType())
+    at = len(keep) + 1
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         index, names = shared.value
-        out = []
-        for segs in _segments_of(b, 1, 2):
-            worst = max((index.score(s) for s in segs), key=lambda x: x[0], default=(0.0, None))
-            out.append((worst[0], names[worst[1][0]] if worst[1] else None, worst[1][1] if worst[1] else None))
-        value, evidence, cosine = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], pa.array(value, pa.float64()), pa.array(evidence, pa.string()),
-                                           pa.array(cosine, pa.float64())], names=schema.names)
+        words, segs = b.column(at), b.column(at + 1)
+        row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(words.offsets, np.int64)))
+        word, seg = (np.asarray(x.flatten()) for x in (words, segs))
+        worst: list[tuple[float, tuple | None]] = [(0.0, None)] * b.num_rows
+        if len(word):
+            starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]))))
+            ends = np.concatenate((starts[1:], [len(word)]))
+            for k in np.flatnonzero(index.may_score(word, starts)):
+                found = index.score_of(word[starts[k]:ends[k]].tolist())
+                i = row[starts[k]]
+                if found[0] > worst[i][0]:
+                    worst[i] = found
+        value, best = zip(*worst, strict=True)
+        evidence, cosine = [names[x[0]] if x else None for x in best], [x[1] if x else None for x in best]
+        return pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(value, pa.float64()), pa.array(evidence, pa.string()), pa.array(cosine, pa.float64())], names=schema.names)
 
     return map_batches(df, schema, one)

@@ -284,3 +284,21 @@ def test_neighbours_are_exact(monkeypatch):
         cos = [sum(float(w * q[ids.index(t)]) for t, w in zip(ex.term[a:b], ex.weight[a:b], strict=True) if t in ids) for a, b in zip(ex.start[:-1], ex.start[1:], strict=True)]
         want = sorted((-c for c in cos if c >= abuse.NEAR))[:abuse.NEIGHBOURS]
         assert [c for c, _ in ex.neighbours(ids)] == pytest.approx([-c for c in want])
+
+
+def test_words_of_a_batch_are_those_of_its_segments():
+    """The known words found in arrays are those found sentence by sentence."""
+    import pyarrow as pa
+
+    texts = ["Кот спит. Пёс — нет! «Да?» Нет\nа вот (так.) и «всё.» Конец", "", None, "one two. Three four… five", "сп@ит к о т а. кот", "a.b c", "?! да", "кот\n\nкот кот", "ab1 cd", "Ты «кот». Да"]
+    tags = [["кот", None, ""], None, ["да", "нет"], [], ["кот"], None, None, None, None, ["КОТ!"]]
+    words = sorted({w for t, g in zip(texts, tags, strict=True) for s in abuse.segments(t, g, True) + abuse.segments(t, g, False) for w in s})
+    ex = abuse.Examples([(False, [(w,)]) for w in words] * 2)
+    row, seg, word = ex.told(pa.array(texts), pa.array(tags, pa.list_(pa.string())))
+    got = [set() for _ in texts]
+    for i in range(len(texts)):
+        for x in np.unique(seg[row == i]):
+            got[i].add(tuple(word[(row == i) & (seg == x)].tolist()))
+    odd = abuse.disguised(pa.array(texts))
+    assert odd[4] and not odd[0]
+    assert got == [{tuple(ex._ids(s)) for s in abuse.segments(t, g, bool(o))} for t, g, o in zip(texts, tags, odd, strict=True)]
