@@ -45,6 +45,8 @@ BLOCK_TEXTS = 20_000
 #: Hot nodes are broadcast up to this number, beyond it they are joined by a shuffle.
 HOT_NODES = 200_000
 CHUNK = 2_000_000
+#: Entries that are worth a task, where their number is known.
+ENTRIES_A_TASK = 20_000
 
 
 def overlap_needed(a, b):
@@ -337,13 +339,14 @@ def _blocks(at: DataFrame, cross: bool) -> DataFrame:
     return at.select(F.explode(places).alias("_p"), *rest).select("_p.node", "unit", "_p.side", *rest[1:])
 
 
-def candidates(at: DataFrame, cross: bool = False, most: int | None = None) -> DataFrame:
+def candidates(at: DataFrame, cross: bool = False, most: int | None = None, size: int | None = None) -> DataFrame:
     """(a, b), a < b: pairs of units that meet in the tree and pass the sieves, each once.
 
     With `cross`, pairs of two stored texts (even `side`) are left out.  Nodes of more than NODE_MAX texts
     are opened before the shuffle, until none is left or the window is used up; those still as
     large then are cut into blocks, and each two blocks meet in a task.  `most` is a known bound of
-    a node's texts: no larger nodes are looked for if it is at most NODE_MAX.
+    a node's texts: no larger nodes are looked for if it is at most NODE_MAX.  `size`, the number of
+    entries where it is known, spares tasks for few of them.
     """
     spark = at.sparkSession
     done, kept = None, []
@@ -370,6 +373,8 @@ def candidates(at: DataFrame, cross: bool = False, most: int | None = None) -> D
             yield from _met(_columns(table), AMONG if cross else 0)
 
     parts = default_partitions(spark, 4)
+    if size is not None:
+        parts = max(1, min(parts, size // ENTRIES_A_TASK))
     pairs = written(at.repartition(parts, "node").mapInArrow(run, PAIRS).distinct(), "pairs")
     release(*kept)
     return pairs
