@@ -194,6 +194,6 @@ def test_tables_stay_bounded_in_one_long_run(monkeypatch):
 
 def test_words_in_disguise_are_found_in_the_trie():
     trie = form.VocabularyTrie([("кот", 5), ("йод", 2), ("cop", 1), ("сор", 9), ("Müller", 3), ("Начальник", 1)])
-    assert trie.canonical("k\u00adот") == "кот" and trie.canonical("и\u0306од") == "йод" and trie.canonical("ｃｏｐ") == "cop"
+    assert trie.canonical("к\u00ad\u006fт") == "кот" and trie.canonical("и\u0306од") == "йод" and trie.canonical("ｃｏｐ") == "cop"
     assert trie.canonical("Ｍu\u0308ller") == "Müller" and trie.canonical("кит") is None and trie.canonical("") is None
     assert form.consistent("Νачальник") == "Начальник"
