@@ -138,6 +138,41 @@ def test_tree_opens_heavy_nodes(monkeypatch):
         assert {(i, j) for i, j in got if len(np.intersect1d(sets[i], sets[j])) >= near.overlap_needed(k, k)} == want
 
 
+def test_opened_nodes_hold_what_a_query_can_reach(monkeypatch):
+    """Below the root stored entries are compared only where a query of their node can be near; no pair is lost."""
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.choice(80, k, replace=False)) for k in r.integers(30, 70, 100)]
+    asked = [i for i in range(len(sets)) if i % 8 == 0]
+    node, unit, skip, windows, sizes = [], [], [], [], []
+    for i, s in enumerate(sets):
+        bound = int(near.most_skipped(np.array(len(s))))
+        for p in range(bound + 1):
+            node.append(int(s[p])), unit.append(i), skip.append(p), sizes.append(len(s)), windows.append(s[p + 1:bound + near.DEPTH].astype(np.uint16))
+    off, values = np.concatenate(([0], np.cumsum([len(w) for w in windows]))), np.concatenate(windows)
+    zero, side = np.zeros(len(node), np.int64), np.isin(unit, asked).astype(np.int8)
+    args = (np.array(node, np.int64), np.array(unit, np.int64), side, np.array(sizes, np.int32), np.array(skip, np.int32), zero, zero, off, values)
+    compared, idle, pairs = 0, 0, near._pairs
+
+    def watched(start, n, order, unit, side, size, skip, *rest):
+        nonlocal compared, idle
+        for a, z in zip(start, start + n, strict=True):
+            e = order[a:z]
+            v, u, q = near.NUM * size[e].astype(int), near.DEN * size[e].astype(int) - (near.NUM + near.DEN) * skip[e], side[e] & 1 > 0
+            compared += int((~q).sum())
+            idle += int((~q & ((u < v[q].min()) | (v > u[q].max()))).sum())
+        return pairs(start, n, order, unit, side, size, skip, *rest)
+
+    monkeypatch.setattr(near, "_pairs", watched)
+    monkeypatch.setattr(near, "LIGHT", 2)
+    monkeypatch.setattr(near, "FEW", 0)
+    both = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= near.overlap_needed(len(sets[i]), len(sets[j]))}
+    for cross, want in ((near.STORED, {p for p in both if sum(i in asked for i in p) == 1}), (near.AMONG, {p for p in both if any(i in asked for i in p)})):
+        got = {(int(a), int(b)) for p in near.tree_pairs(*args, cross) for a, b in p.T}
+        assert got & both == want and len(want) > 20
+        assert compared > 1000 and idle < compared / 8  # slots may collide
+        compared = idle = 0
+
+
 @pytest.mark.parametrize("node_max", [4, 50])
 def test_nodes_opened_before_and_in_the_task(spark, monkeypatch, node_max):
     """Texts that pass over as many words as they may are met however far the nodes were opened before."""
