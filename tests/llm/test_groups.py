@@ -173,6 +173,25 @@ def test_opened_nodes_hold_what_a_query_can_reach(monkeypatch):
         compared = idle = 0
 
 
+def test_inspection_stops_at_the_first_sufficient_repair(monkeypatch):
+    texts = ["Кот спит на диване и ждёт ужина.".encode().decode("cp1252", "replace"), "Кот спит на диване".encode("koi8-r").decode("cp1251"), *TEXTS,
+             "Старый кот спит. " + "Молодой пёс громко лает.".encode("cp1251").decode("koi8-r"), "Ãëàäèò êîòà", "Le café déjà vu", "Кoт и пёс &amp; кролик"]
+    found, expanded, neighbours = [], 0, garble.neighbours
+
+    def counted(*args):
+        nonlocal expanded
+        expanded += 1
+        return neighbours(*args)
+
+    monkeypatch.setattr(garble, "neighbours", counted)
+    for look in (lambda: [garble.repair(t)[0] for t in texts], lambda: columns.inspect(columns.pa.array(texts))[0].tolist()):
+        garble._search_word.cache_clear()
+        found.append((look(), expanded))
+        expanded = 0
+    (want, all_of_them), (got, fewer) = found
+    assert got == want and 3 < sum(want) < len(texts) - 3 and fewer < all_of_them
+
+
 @pytest.mark.parametrize("node_max", [4, 50])
 def test_nodes_opened_before_and_in_the_task(spark, monkeypatch, node_max):
     """Texts that pass over as many words as they may are met however far the nodes were opened before."""
