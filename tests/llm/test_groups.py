@@ -173,6 +173,41 @@ def test_opened_nodes_hold_what_a_query_can_reach(monkeypatch):
         compared = idle = 0
 
 
+def test_a_query_looks_only_at_entries_of_its_reach(monkeypatch):
+    """A node whose pairs are few beside its children is compared at once, and pairs too far apart in size are not even made."""
+    n = 260
+    size = np.random.default_rng(3).integers(30, 120, n).astype(np.int32)
+    side = (np.arange(n) < 60).astype(np.int8)
+    looked, ranges = 0, near._ranges
+
+    def counted(starts, lengths):
+        nonlocal looked
+        looked += int(lengths.sum())
+        return ranges(starts, lengths)
+
+    def never(*_):
+        raise AssertionError("opened")
+
+    monkeypatch.setattr(near, "_ranges", counted)
+    monkeypatch.setattr(near, "_children", never)
+    zero = np.zeros(n, np.int64)
+    off = np.concatenate(([0], np.cumsum(np.minimum(near.most_skipped(size.astype(np.int64)) + near.DEPTH, size) - 1)))
+    args = (zero + 7, np.arange(n), side, size, zero.astype(np.int32), zero, zero, off, np.zeros(off[-1], np.uint16))
+    got = [(int(a), int(b)) for p in near.tree_pairs(*args, near.STORED) for a, b in p.T]
+    want = {(i, j) for i in range(60) for j in range(60, n) if near.NUM * max(size[i], size[j]) <= near.DEN * min(size[i], size[j])}
+    assert set(got) == want and len(got) == len(want) > 1000
+    assert looked <= 2 * n + len(want)  # the node's entries twice, and the pairs
+
+
+def test_known_keys_are_read_once_a_batch(spark, monkeypatch):
+    joined, spread = [], incoming.spread_join
+    monkeypatch.setattr(incoming, "spread_join", lambda rows, per_key, *args: joined.append(per_key) or spread(rows, per_key, *args))
+    index = incoming.PostIndex.build(spark.createDataFrame([(1, "Кот спит")], "anecdote_id long, text string"), spark.createDataFrame([(["anek:id:7"],)], "posts array<string>"))
+    posts = spark.createDataFrame([(1, "7", "Пёс"), (2, "8", "кот спит!"), (3, "9", "Рыба")], "in_id long, id string, text string")
+    assert sorted(r.in_id for r in index.ingest(posts).filter("case").collect()) == [1, 2]
+    assert joined and all(hasattr(x, "_written_to") for x in joined)  # a table of the keys found, not the index itself
+
+
 def test_inspection_stops_at_the_first_sufficient_repair(monkeypatch):
     texts = ["Кот спит на диване и ждёт ужина.".encode().decode("cp1252", "replace"), "Кот спит на диване".encode("koi8-r").decode("cp1251"), *TEXTS,
              "Старый кот спит. " + "Молодой пёс громко лает.".encode("cp1251").decode("koi8-r"), "Ãëàäèò êîòà", "Le café déjà vu", "Кoт и пёс &amp; кролик"]
