@@ -294,7 +294,8 @@ def streamed_posts(spark, sf):
 
     path = fresh_path(spark, "stream")
     schema = table(spark, sf, "incoming_posts").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "incoming_posts.parquet").parquet(sf)
+    # a pattern, since a stream reads no single file by its plain path; the table may be a file or a folder of files
+    source = spark.readStream.schema(schema).parquet(f"{sf}/incoming_posts.parque[t]")
     stream = PostStream(spark, path, ["in_id"])
     stream.run(source, f"{path}-checkpoint").awaitTermination()
     return stream.posts().select("in_id", "key", "hash")

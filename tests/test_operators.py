@@ -232,6 +232,18 @@ def test_stream(spark, tmp_path):
     assert sorted(r.i for r in sink_.posts().collect()) == [1, 4] and sorted(r.key for r in sink_.keys().collect()) == ["anek:id:a", "anek:id:b", "anek:id:c"]
 
 
+def test_streamed_table_is_file_or_folder(spark, tmp_path):
+    from quellwerk.plans.pages import streamed_posts
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x "), (4, "c", "z")], "in_id long, id string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder/incoming_posts.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file/incoming_posts.parquet")
+    for d in ("folder", "file"):
+        assert sorted(r.in_id for r in streamed_posts(spark, str(tmp_path / d)).collect()) == [1, 4], d
+
+
 def test_hot_keys_are_spread(spark, monkeypatch):
     monkeypatch.setattr(keys, "HOT_ROWS", 50)
     rows = spark.range(400).withColumn("k", F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 10))
