@@ -309,6 +309,37 @@ def test_incoming(spark, monkeypatch, limit, settle):
     assert empty.ingest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("probe", [300, 60])
+def test_large_batch_is_probed_in_slices(spark, monkeypatch, probe):
+    r = random.Random(9)
+    words = ["".join(r.choice("абвгдежзиклмн") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(r.sample(words, 36)) for _ in range(30)]
+    near_ones = [" ".join([*t.split()[:30], *r.sample(words, 6)]) for t in texts for _ in range(2)]
+    stored = spark.createDataFrame(list(enumerate([*texts, *near_ones[:20]])), "anecdote_id long, text string")
+    states = spark.createDataFrame([], "posts array<string>")
+    posts = spark.createDataFrame([(i, None, t) for i, t in enumerate([*near_ones[20:], *(" ".join(r.sample(words, 36)) for _ in range(20))])], "in_id long, id string, text string")
+    want = sorted(tuple(x) for x in incoming.PostIndex.build(stored, states).ingest(posts).collect())
+    shuffled, asked, candidates, probed = [], [], near.candidates, near.probed
+
+    def all_candidates(at, cross=False, **k):
+        if cross:
+            shuffled.append(at.filter("side = 0").count())
+        return candidates(at, cross, **k)
+
+    def all_probed(cells, queries):
+        asked.append(queries.count())
+        return probed(cells, queries)
+
+    monkeypatch.setattr(incoming, "PROBE_ENTRIES", probe)
+    monkeypatch.setattr(near, "candidates", all_candidates)
+    monkeypatch.setattr(near, "probed", all_probed)
+    index = incoming.PostIndex.build(stored, states)
+    assert sorted(tuple(x) for x in index.ingest(posts).collect()) == want and {True, False} == {x[1] for x in want}
+    assert len(asked) > 1 and max(asked) <= probe
+    cells = index.table("cells").filter("unit >= 0").count()
+    assert len(shuffled) <= 1 and sum(shuffled) < cells  # never all cells
+
+
 def test_rates():
     assert mixing.repetition_rates([("a", 0.5, 1, 100), ("b", 0.5, 4, 10), ("c", 0.0, 1, 5), ("d", 0.2, 3, 0), ("e", None, 1, 9)]) == pytest.approx({"a": 0.4, "b": 4.0, "c": 0, "d": 0, "e": 0})
     got = mixing.repetition_rates([("a", 0.5, 1, 100), ("b", 0.5, 4, 10)], 110)
